@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -98,3 +99,11 @@ def slices(sizes: list[int], limit: int):
         total += n
     if i < len(sizes):
         yield i, len(sizes)
+
+
+def small(batches, column: int, limit: int = 4_000_000):
+    """The batches in slices of about limit bytes in a string column: bounds what a worker holds as Python objects."""
+    for b in batches:
+        sizes = pc.fill_null(pc.binary_length(b.column(column)), 0).to_pylist()
+        for i, j in slices(sizes, limit):
+            yield b.slice(i, j - i)

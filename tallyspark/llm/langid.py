@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import slices as ranges
+from .common import small
 
 UNDEFINED = "und"
 
@@ -204,7 +205,7 @@ def predict(docs: DataFrame, net: BiGru | None, cfg: LangConfig = LangConfig(),
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches):
-        for b in batches:
+        for b in small(batches, 1):
             langs, scores = predict_texts(shared.value, b.column(1).to_pylist(), cfg)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[id_col, "lang_pred", "score"])
 

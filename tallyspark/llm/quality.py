@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import mix64, slices, word_hashes
+from .common import mix64, slices, small, word_hashes
 
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -156,7 +156,7 @@ def repetition_metrics(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     measured one by one; other columns of docs are not read, so their names cannot clash. An empty table gives none."""
 
     def run(batches):
-        for b in batches:
+        for b in small(batches, 1):
             m = measure(b.column(1).to_pylist(), rules)
             yield pa.RecordBatch.from_arrays([b.column(0), *m.columns], names=[id_col, *METRICS.names])
 
@@ -167,8 +167,10 @@ def repetition_metrics(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def keep_clean(docs: DataFrame, text_col: str = "text", rules: RepetitionRules = RepetitionRules()) -> DataFrame:
     """The rows of docs, all columns unchanged, that the rules keep. Rows with a null text have no words and go."""
 
+    at = docs.columns.index(text_col)
+
     def run(batches):
-        for b in batches:
-            yield b.filter(measure(b.column(b.schema.names.index(text_col)).to_pylist(), rules).column("kept"))
+        for b in small(batches, at):
+            yield b.filter(measure(b.column(at).to_pylist(), rules).column("kept"))
 
     return docs.mapInArrow(run, docs.schema)

@@ -45,7 +45,7 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentencepiece.encode_digests(table(spark, sf_dir, "documents"), sentencepiece.Vocabulary.load(TOKENIZER))
+    return sentencepiece.encode(table(spark, sf_dir, "documents"), sentencepiece.Vocabulary.load(TOKENIZER), digest=True)
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import small
+
 SPACE = "▁"
 NONE = -np.inf
 
@@ -81,7 +83,7 @@ def _model_type(buf: bytes) -> int:
 
 
 class Encoder:
-    def __init__(self, vocab: Vocabulary, cache_items: int = 400_000):
+    def __init__(self, vocab: Vocabulary, cache_items: int = 200_000):
         self.v = vocab
         self.ids = {p: i for i, p in enumerate(vocab.pieces) if i not in vocab.special}
         self.longest = max(map(len, self.ids), default=1)
@@ -153,7 +155,7 @@ class Encoder:
             got = self._encode_unit(unit)
             if len(self.units) > self.cache_items:
                 self.units.clear()
-            if len(unit) <= 64:
+            if len(unit) <= 32:
                 self.units[unit] = got
         return got
 
@@ -306,37 +308,48 @@ def chunk_rows(docs: DataFrame, key: str, text_col: str, chunk_chars: int, halo:
     return t.select(key, "chunk_no", "n_chunks", F.substring("t", begin - lead + 1, lead + size + halo).alias("window"), lead.alias("lead"), size.alias("size"))
 
 
-def encode(docs: DataFrame, vocab: Vocabulary, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = 32_768) -> DataFrame:
-    """(id_col, token_ids array<int>, n_chars long, decoded_equal boolean): a row per row of docs.
+DIGEST = "n_tokens long, ids_sha256 string"
+IDS = "token_ids array<int>"
+
+
+def _result(keys, ids: list, n: list, same: list, id_col: str, digest: bool) -> pa.RecordBatch:
+    """Rows of encode(): the ids themselves, or their number and the SHA-256 of them as little-endian int32."""
+    if digest:
+        made = {"n_tokens": pa.array([len(x) for x in ids], pa.int64()), "ids_sha256": pa.array([hashlib.sha256(np.asarray(x, dtype="<i4").tobytes()).hexdigest() for x in ids], pa.string())}
+    else:
+        off = pa.array(np.cumsum([0] + [len(x) for x in ids]), pa.int32())
+        made = {"token_ids": pa.ListArray.from_arrays(off, pa.array(np.concatenate([np.asarray(x, dtype=np.int32) for x in ids]) if ids else np.empty(0, np.int32)))}
+    cols = {id_col: keys, "n_chars": pa.array(n, pa.int64()), **made, "decoded_equal": pa.array(same, pa.bool_())}
+    return pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
+
+
+def encode(docs: DataFrame, vocab: Vocabulary, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = 32_768, digest: bool = False) -> DataFrame:
+    """(id_col, n_chars long, token_ids array<int>, decoded_equal boolean): a row per row of docs; with digest, n_tokens and
+    ids_sha256 (of the ids as little-endian int32) in place of the ids.
 
     Null and empty texts: no tokens, equal. decoded_equal: decoding gives the text back (a text that itself holds U+2581
-    does not). Texts over chunk_chars go through the chunk scan, a task per chunk; repeated ids are told apart by row.
+    does not). Texts over chunk_chars go through the chunk scan, a task per chunk; repeated rows are each encoded.
     Other columns of docs are not read. An empty table gives an empty table.
     """
     spark: SparkSession = docs.sparkSession
     shared = spark.sparkContext.broadcast(vocab)
     kind = docs.schema[id_col].dataType.simpleString()
-    out = f"`{id_col}` {kind}, token_ids array<int>, n_chars long, decoded_equal boolean"
+    out = f"`{id_col}` {kind}, n_chars long, {DIGEST if digest else IDS}, decoded_equal boolean"
 
     def whole(batches):
         enc = _encoder(shared)
-        for b in batches:
-            ids, n, same = [], [], []
-            for t in b.column(1).to_pylist():
-                got = enc.encode(t)
-                ids.append(got)
-                n.append(len(t or ""))
-                same.append(enc.decode(got) == (t or ""))
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(x) for x in ids]), pa.int32()), pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32), pa.int32()))
-            yield pa.RecordBatch.from_arrays([b.column(0), lists, pa.array(n, pa.int64()), pa.array(same, pa.bool_())], names=[id_col, "token_ids", "n_chars", "decoded_equal"])
+        for b in small(batches, 1, 2_000_000):
+            texts = [t or "" for t in b.column(1).to_pylist()]
+            ids = [enc.encode(t) for t in texts]
+            yield _result(b.column(0), ids, [len(t) for t in texts], [enc.decode(x) == t for x, t in zip(ids, texts, strict=True)], id_col, digest)
 
     long = F.coalesce(F.length(text_col), F.lit(0)) >= chunk_chars
     short = docs.select(id_col, text_col).filter(~long).mapInArrow(whole, out)
     giant = docs.select(id_col, text_col).filter(long)
-    return short.unionByName(encode_giant(giant, shared, id_col, text_col, chunk_chars, out))
+    return short.unionByName(encode_giant(giant, shared, id_col, text_col, chunk_chars, out, digest))
 
 
-def encode_giant(giant: DataFrame, shared, id_col: str, text_col: str, chunk_chars: int, out: str) -> DataFrame:
+def encode_giant(giant: DataFrame, shared, id_col: str, text_col: str, chunk_chars: int, out: str, digest: bool) -> DataFrame:
     """The chunk scan: a transfer matrix per chunk, states per text, a backtrace per chunk, chunks in order again.
 
     Rows of one id and one text are the same text, encoded once and given out as often as they came.
@@ -348,7 +361,7 @@ def encode_giant(giant: DataFrame, shared, id_col: str, text_col: str, chunk_cha
 
     def matrices(batches):
         enc = _encoder(shared)
-        for b in batches:
+        for b in small(batches, 3, 1_000_000):
             rows = []
             for r in b.to_pylist():
                 first, final = r["chunk_no"] == 0, r["chunk_no"] == r["n_chunks"] - 1
@@ -370,7 +383,7 @@ def encode_giant(giant: DataFrame, shared, id_col: str, text_col: str, chunk_cha
 
     def back(batches):
         enc = _encoder(shared)
-        for b in batches:
+        for b in small(batches, 3, 1_000_000):
             ids = []
             for r in b.to_pylist():
                 pair = lambda s: tuple(s) if s else None
@@ -382,9 +395,9 @@ def encode_giant(giant: DataFrame, shared, id_col: str, text_col: str, chunk_cha
 
     def checked(batches):
         enc = _encoder(shared)
-        for b in batches:
-            texts, ids = b.column(1).to_pylist(), b.column(2)
-            yield pa.RecordBatch.from_arrays([b.column(0), ids, pa.array([len(t) for t in texts], pa.int64()), pa.array([enc.decode(x) == t for x, t in zip(ids.to_pylist(), texts, strict=True)], pa.bool_())], names=[id_col, "token_ids", "n_chars", "decoded_equal"])
+        for b in small(batches, 1):
+            texts, ids = b.column(1).to_pylist(), [x.values.to_numpy() for x in b.column(2)]
+            yield _result(b.column(0), ids, [len(t) for t in texts], [enc.decode(x) == t for x, t in zip(ids, texts, strict=True)], id_col, digest)
 
     return named.join(joined, key).select(id_col, text_col, "token_ids").mapInArrow(checked, out)
 
@@ -399,18 +412,3 @@ def decode(tokens: DataFrame, vocab: Vocabulary, id_col: str = "doc_id", ids_col
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([enc.decode(x or []) for x in b.column(1).to_pylist()], pa.string())], names=[id_col, "text"])
 
     return tokens.select(id_col, ids_col).mapInArrow(run, f"`{id_col}` {tokens.schema[id_col].dataType.simpleString()}, text string")
-
-
-def encode_digests(docs: DataFrame, vocab: Vocabulary, chunk_chars: int = 32_768) -> DataFrame:
-    """doc_id, n_chars, n_tokens, ids_sha256 (of the ids as little-endian int32), decoded_equal."""
-
-    def run(batches):
-        for b in batches:
-            ids = b.column("token_ids")
-            flat, off = ids.flatten().to_numpy(zero_copy_only=False).astype("<i4"), np.concatenate(([0], np.cumsum(pa.compute.list_value_length(ids).to_numpy(zero_copy_only=False)))).astype(np.int64)
-            sha = [hashlib.sha256(flat[i:j].tobytes()).hexdigest() for i, j in pairwise(off)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_chars"), pa.array(np.diff(off), pa.int64()), pa.array(sha, pa.string()), b.column("decoded_equal")], names=["doc_id", "n_chars", "n_tokens", "ids_sha256", "decoded_equal"])
-
-    import pyarrow.compute  # noqa: F401
-
-    return encode(docs, vocab, chunk_chars=chunk_chars).mapInArrow(run, "doc_id long, n_chars long, n_tokens long, ids_sha256 string, decoded_equal boolean")

@@ -83,9 +83,10 @@ def _model_type(buf: bytes) -> int:
 
 
 class Encoder:
-    def __init__(self, vocab: Vocabulary, cache_items: int = 200_000):
+    def __init__(self, vocab: Vocabulary, cache_items: int = 350_000):
         self.v = vocab
         self.ids = {p: i for i, p in enumerate(vocab.pieces) if i not in vocab.special}
+        self.rank = {p: -vocab.scores[i] for p, i in self.ids.items()}
         self.longest = max(map(len, self.ids), default=1)
         self.chars = {c for p in self.ids if len(p) == 1 for c in p}
         if vocab.kind == "unigram":
@@ -97,6 +98,7 @@ class Encoder:
         self.unit = re.compile(word, re.DOTALL)
         self.stable: dict[tuple[int, int], bool] = {}
         self.units: dict[str, tuple[int, ...]] = {}
+        self.old_units: dict[str, tuple[int, ...]] = {}
         self.cache_items = cache_items
         self.bytes = [p.replace(SPACE, " ").encode() for p in vocab.pieces]
         for i in vocab.special:
@@ -106,16 +108,17 @@ class Encoder:
 
     # -- BPE on short strings: defines which pairs are stable
     def merge(self, text: str) -> list[str]:
-        parts = list(text)
-        while True:
-            best, at = None, -1
-            for i, (a, b) in enumerate(pairwise(parts)):
-                k = self.ids.get(a + b)
-                if k is not None and (best is None or self.v.scores[k] > best):
-                    best, at = self.v.scores[k], i
-            if at < 0:
-                return parts
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        parts, rank = list(text), self.rank
+        ranks = [rank.get(a + b, np.inf) for a, b in pairwise(parts)]
+        while ranks and (best := min(ranks)) < np.inf:
+            i = ranks.index(best)  # of equal ranks the leftmost
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank.get(parts[i - 1] + parts[i], np.inf)
+            if i < len(ranks):
+                ranks[i] = rank.get(parts[i] + parts[i + 1], np.inf)
+        return parts
 
     def weight(self, left: int | None, right: int) -> float:
         if self.v.kind == "unigram":
@@ -152,9 +155,9 @@ class Encoder:
     def encode_unit(self, unit: str) -> tuple[int, ...]:
         got = self.units.get(unit)
         if got is None:
-            got = self._encode_unit(unit)
-            if len(self.units) > self.cache_items:
-                self.units.clear()
+            got = self.old_units.get(unit) or self._encode_unit(unit)
+            if len(self.units) >= self.cache_items:  # units in use come back from the table before
+                self.units, self.old_units = {}, self.units
             if len(unit) <= 32:
                 self.units[unit] = got
         return got
@@ -184,8 +187,11 @@ class Encoder:
         return SPACE + text.replace(" ", SPACE) if text else ""
 
     def encode(self, text: str | None) -> np.ndarray:
-        got = self.units
-        return np.fromiter(chain.from_iterable([got[u] if u in got else self.encode_unit(u) for u in self.unit.findall(self.escape(text))]), dtype=np.int32)
+        units = self.unit.findall(self.escape(text))
+        got = list(map(self.units.get, units))
+        if None in got:
+            got = [self.encode_unit(u) if g is None else g for u, g in zip(units, got, strict=True)]
+        return np.fromiter(chain.from_iterable(got), dtype=np.int32)
 
     def decode(self, ids) -> str:
         raw = b"".join(map(self.bytes.__getitem__, ids.tolist() if isinstance(ids, np.ndarray) else ids))

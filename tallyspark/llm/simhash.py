@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gram_hashes, mix64, shuffle_parts, slices, word_hashes
+from .common import gram_hashes, materialize, mix64, shuffle_parts, slices, word_hashes
 
 BITS = 128
 HALF = 64
@@ -192,3 +192,16 @@ def _edited(rows: list[tuple], cfg: SimHashConfig) -> pa.RecordBatch:
     sha = [hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest() for e in edits]
     cols = [pa.array([r[0] for r in rows], pa.int64()), pa.array([len(t) for t in texts], pa.int64()), pa.array(sha), pa.array(_hex(own)), pa.array(_hex(changed)), pa.array(likeness(own, changed)), pa.array(likeness(own, follow))]
     return pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+
+
+def with_neighbours(rows: DataFrame, every: int, radius: int = 3, blocks: int = 4) -> DataFrame:
+    """rows (doc_id, fingerprint, ...) and n_within: for ids divisible by `every` the number of other rows whose fingerprint
+    lies within the radius, of all rows; NULL for the rest and for null ids. Found by the block tables over distinct
+    fingerprints, so a group of copies is one entry, and counted without listing documents."""
+    rows = materialize(rows, "fingerprints")
+    asks = F.coalesce(F.col("doc_id") % every == 0, F.lit(False))
+    classes = materialize(rows.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n")), "fingerprint-classes")
+    pairs = within_radius(rows.filter(asks), classes, radius, blocks)
+    found = pairs.join(classes.withColumnRenamed("fingerprint", "match"), "match").groupBy("fingerprint").agg((F.sum("n") - 1).alias("n_within"))
+    asked = rows.filter(asks).join(found, "fingerprint", "left").select(*rows.columns, "n_within")
+    return asked.unionByName(rows.filter(~asks).withColumn("n_within", F.lit(None).cast("long")))

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, linededup, lm, minhash, mixing, quality, sentencepiece, simhash, substring, warc
+from . import langid, linededup, lm, minhash, mixing, oracles, quality, sentencepiece, simhash, substring, warc
 
 TOKENIZER = os.environ.get("TALLYSPARK_SENTENCEPIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 
@@ -79,5 +79,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE: dict[str, str] = {
     "op1_mix_sources": mixing.oracle(mixing.PRODUCTION),
+    "op2_substring_dedup": oracles.SUBSTRING,
     "op7_line_dedup": linededup.ORACLE,
+    "op8_warc": oracles.WARC,
+    "op10_near_dedup": oracles.NEAR,
 }

@@ -48,13 +48,13 @@ TREE = "b5 AS (SELECT conv_id AS tree_id, turn AS node_id, CASE WHEN turn = 0 TH
 
 
 def rounds(spark: SparkSession, d: str) -> DataFrame:
-    """Per problem the series of a metric over its rounds (at most six), and whether it ended well."""
+    """Per problem the series of a metric over its rounds, and whether it ended well."""
     w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
-    t = table(spark, d, "orders").withColumn("round", F.row_number().over(w).cast("int")).filter("round <= 6")
+    t = table(spark, d, "orders").withColumn("round", F.row_number().over(w).cast("int"))
     return t.selectExpr("o_custkey problem_id", "round", "o_totalprice / 100000 entropy", "least(1.0D, 20000 / o_totalprice) confidence", "o_custkey % 2 = 0 correct")
 
 
-ROUNDS = "b6 AS (SELECT o_custkey AS problem_id, round::INT AS round, o_totalprice / 100000 AS entropy, least(1.0::DOUBLE, 20000 / o_totalprice) AS confidence, o_custkey % 2 = 0 AS correct FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS round FROM orders) WHERE round <= 6)"
+ROUNDS = "b6 AS (SELECT o_custkey AS problem_id, round::INT AS round, o_totalprice / 100000 AS entropy, least(1.0::DOUBLE, 20000 / o_totalprice) AS confidence, o_custkey % 2 = 0 AS correct FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS round FROM orders))"
 
 
 def wide(spark: SparkSession, d: str) -> DataFrame:

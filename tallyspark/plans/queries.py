@@ -3,6 +3,7 @@ the operators in the inventory."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -330,9 +331,9 @@ def e01(s, d):
     return t.select("vec_id", F.round(V.entropy_nats("v"), 6).alias("entropy"), F.round(V.logit_margin("v"), 6).alias("margin"), F.round(F.get(V.top_probs("v", 3), 0), 6).alias("top1"), F.round(F.get(V.top_probs("v", 3), 2), 6).alias("third"))
 
 
-@query("e07_pairwise_disagreement", "SELECT a.grp, any_value(n) AS n, round(greatest(0, least(1, 1 - avg(list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v)) / sqrt(list_dot_product(b.v, b.v))))), 6) AS disagreement FROM b4 a JOIN b4 b ON a.grp = b.grp AND a.vec_id < b.vec_id JOIN (SELECT grp, count(*) AS n FROM b4 GROUP BY grp) c ON c.grp = a.grp GROUP BY a.grp", B.VECTORS)
+@query("e07_pairwise_disagreement", "SELECT c.grp, c.n, round(coalesce(greatest(0, least(1, 1 - m)), 0), 6) AS disagreement FROM (SELECT grp, count(*) AS n FROM b4 GROUP BY grp) c LEFT JOIN (SELECT a.grp, avg(list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v)) / sqrt(list_dot_product(b.v, b.v))) AS m FROM b4 a JOIN b4 b ON a.grp = b.grp AND a.vec_id < b.vec_id GROUP BY a.grp) p ON p.grp = c.grp", B.VECTORS)
 def e07(s, d):
-    return V.pairwise_disagreement(B.vectors(s, d), "grp", "v").filter("n > 1")
+    return V.pairwise_disagreement(B.vectors(s, d), "grp", "v")
 
 
 @query("e09_commitment_probe")
@@ -429,11 +430,16 @@ def f27(s, d):
     return t.select("doc_id", F.size(A.solution_steps("t")).alias("n_steps"))
 
 
-@query("f28_zone_tokens", "SELECT doc_id, regexp_matches(right(left(text, 400), 20), '[=+*/^-]') OR regexp_matches(right(left(text, 400), 40), '(?i)\\b(therefore|thus|hence|so|since|because)\\b') AS zone FROM documents WHERE length(text) > 400 AND NOT regexp_matches(left(text, 400), '(?i)\\b(we|it|this|which|note|observe|recall|substitut|simplif|expand|factor|solv|comput|plugg|combin|rearrang|apply)|[^\\x00-\\x7F]')")
+def _either(words: list[str]) -> str:
+    return "|".join(re.escape(w).replace("\\ ", " ") for w in sorted(words, key=len, reverse=True))
+
+
+_OPS, _SAYS = _either(A.OPERATORS), _either(A.TRANSITIONS)
+
+
+@query("f28_zone_tokens", f"SELECT doc_id, regexp_matches(right(text, 20), '{_OPS}') OR regexp_matches(right(text, 40), '(?i)(^|[^\\pL\\pN_])({_SAYS})([^\\pL\\pN_]|$)') AS zone FROM documents")
 def f28(s, d):
-    t = B.claims_text(s, d).filter("length(text) > 400").withColumn("p", F.left("text", F.lit(400)))
-    t = t.filter(~F.col("p").rlike(r"(?i)\b(we|it|this|which|note|observe|recall|substitut|simplif|expand|factor|solv|comput|plugg|combin|rearrang|apply)|[^\x00-\x7F]"))
-    return t.select("doc_id", A.in_zone("p", F.lit("x")).alias("zone"))
+    return B.claims_text(s, d).select("doc_id", A.in_zone("text", F.lit("x")).alias("zone"))
 
 
 @query("f29_garbage_documents", "SELECT doc_id, regexp_matches(text, '[^\\x{0}-\\x{FF}\\x{370}-\\x{3FF}\\x{2190}-\\x{21FF}\\x{2200}-\\x{22FF}]') AS garbage FROM documents")

@@ -13,6 +13,7 @@ from tallyspark.operators import metrics as M
 from tallyspark.operators import provider as P
 from tallyspark.operators import vectors as V
 from tallyspark.operators import voting as Q
+import tallyspark.plans.more_queries  # noqa: F401
 from tallyspark.plans.queries import ORACLE, QUERIES
 from tallyspark.sources import loaders as L
 from tallyspark.sources import readers as R

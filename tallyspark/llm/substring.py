@@ -23,13 +23,12 @@ from .common import gram_hashes, materialize, mix64, shuffle_parts, slices, word
 
 @dataclass(frozen=True)
 class SubstringConfig:
-    """Anchors that stand twice are broadcast while there are max_broadcast_anchors at most (8 bytes each), else joined."""
+    """window: words of a window; gram: words of an anchor; shard_words: words of whole anchors that make an index."""
 
     window: int = 35
     gram: int = 8
     shard_words: int = 600_000
     slice_bytes: int = 1_000_000
-    max_broadcast_anchors: int = 4_000_000
 
 
 # ---- anchors and segments
@@ -99,16 +98,14 @@ SEGMENTS = pa.schema([("anchor", pa.int64()), ("seg", pa.int64()), ("words", pa.
 SEGMENTS_DDL = "anchor long, seg long, words binary, ids array<long>, ths array<long>, starts array<int>"
 
 
-def segments(docs: DataFrame, id_col: str, text_col: str, cfg: SubstringConfig, shared) -> DataFrame:
-    """A row per distinct segment of a slice whose anchor is shared, with all its places (id, text hash, first word)."""
+def segments(docs: DataFrame, id_col: str, text_col: str, cfg: SubstringConfig, shared: DataFrame) -> DataFrame:
+    """A row per distinct segment of a slice whose anchor is in shared, with all its places (id, text hash, first word).
+
+    Each document's shared anchors come to its text by joins, so no corpus-wide set is ever in one place."""
     places = _places(docs, id_col, text_col)
-    if isinstance(shared, DataFrame):  # too many to broadcast: each document's shared anchors come by a join
-        per_doc = _anchors_by_doc(places, cfg).join(shared, "anchor").groupBy("id", "th").agg(F.collect_set("anchor").alias("a"))
-        per_doc = per_doc.select(F.col("id").alias("_i"), F.col("th").alias("_t"), "a")
-        places = places.join(per_doc, places.id.eqNullSafe(F.col("_i")) & (places.th == F.col("_t"))).select("id", "th", "t", "a")
-        known = None
-    else:
-        known = docs.sparkSession.sparkContext.broadcast(shared)
+    per_doc = _anchors_by_doc(places, cfg).join(shared, "anchor").groupBy("id", "th").agg(F.collect_set("anchor").alias("a"))
+    per_doc = per_doc.select(F.col("id").alias("_i"), F.col("th").alias("_t"), "a")
+    places = places.join(per_doc, places.id.eqNullSafe(F.col("_i")) & (places.th == F.col("_t"))).select("id", "th", "t", "a")
 
     def run(batches):
         for b in batches:
@@ -116,11 +113,7 @@ def segments(docs: DataFrame, id_col: str, text_col: str, cfg: SubstringConfig,
             for i, j in slices([len(x) for x in blobs], cfg.slice_bytes):
                 h, counts = word_hashes(blobs[i:j])
                 anchor, start, n, text = window_anchors(h, counts, cfg)
-                if known is None:
-                    own = np.unique(np.concatenate([np.array(x.as_py(), dtype=np.int64) for x in b.column(3)[i:j]])).view(np.uint64)
-                    own.sort()
-                else:
-                    own = known.value
+                own = np.unique(b.column(3).slice(i, j - i).flatten().to_numpy().view(np.uint64))
                 keep = _among(anchor, own)
                 if keep.any():
                     yield _segment_batch(h, counts, anchor[keep], start[keep], n[keep], text[keep], ids[i:j], ths[i:j], cfg)
@@ -331,8 +324,6 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(id, th, spans array<struct<start, size>>): per document with repeated windows the word intervals they cover."""
     shared = anchor_counts(docs, text_col, cfg).groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1").select("anchor")
     shared = materialize(shared, "anchors")
-    if shared.limit(cfg.max_broadcast_anchors + 1).count() <= cfg.max_broadcast_anchors:
-        shared = np.sort(shared.toArrow().column(0).to_numpy().view(np.uint64))
     found = search_shards(segments(docs, id_col, text_col, cfg, shared), cfg)
     return found.groupBy("id", "th").agg(F.collect_set(F.struct("start", "size")).alias("spans"))
 

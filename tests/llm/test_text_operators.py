@@ -42,7 +42,7 @@ def words(t):
     return (t or "").encode().split()
 
 
-@pytest.mark.parametrize("cfg", [substring.SubstringConfig(), substring.SubstringConfig(max_broadcast_anchors=0, shard_words=500)])
+@pytest.mark.parametrize("cfg", [substring.SubstringConfig(), substring.SubstringConfig(shard_words=500)])
 def test_substring(docs, cfg):
     seen, want = collections.Counter(), []
     for _, t, *_ in corpus():

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
 from itertools import chain, pairwise
 
@@ -83,7 +84,7 @@ def _model_type(buf: bytes) -> int:
 
 
 class Encoder:
-    def __init__(self, vocab: Vocabulary, cache_items: int = 350_000):
+    def __init__(self, vocab: Vocabulary, cache_items: int = 450_000):
         self.v = vocab
         self.ids = {p: i for i, p in enumerate(vocab.pieces) if i not in vocab.special}
         self.rank = {p: -vocab.scores[i] for p, i in self.ids.items()}
@@ -187,11 +188,13 @@ class Encoder:
         return SPACE + text.replace(" ", SPACE) if text else ""
 
     def encode(self, text: str | None) -> np.ndarray:
-        units = self.unit.findall(self.escape(text))
+        return np.array(self._ids(self.unit.findall(self.escape(text))), dtype=np.int32)
+
+    def _ids(self, units: list[str]) -> list[int]:
         got = list(map(self.units.get, units))
         if None in got:
             got = [self.encode_unit(u) if g is None else g for u, g in zip(units, got, strict=True)]
-        return np.fromiter(chain.from_iterable(got), dtype=np.int32)
+        return list(chain.from_iterable(got))
 
     def decode(self, ids) -> str:
         raw = b"".join(map(self.bytes.__getitem__, ids.tolist() if isinstance(ids, np.ndarray) else ids))
@@ -221,57 +224,68 @@ class Encoder:
         m = np.full((len(entries), len(exits)), NONE)
         for i, state in enumerate(entries):
             for j, x in enumerate(exits):
-                m[i, j] = self._link(window, lead, border, state, x)[0]
+                m[i, j] = self._link(window, lead, border, state, x, ids=False)[0]
         return entries, exits, m
 
-    def _link(self, window: str, lead: int, border: int, entry, leave):
+    def _link(self, window: str, lead: int, border: int, entry, leave, ids: bool = True):
         """Score and ids of the path from the end of entry to the end of leave."""
         at = lead + (entry[1] if entry else 0)
         goal = border + (leave[0] if leave else 0)  # where the leaving piece starts
-        key = (window, lead, border, entry)
-        if getattr(self, "_memo_key", None) != key:
-            self._memo_key, self._memo = key, {}
+        if getattr(self, "_memo_of", None) is not window:
+            self._memo_of, self._memo = window, {}
         if leave is not None and at == border + leave[1] and entry is not None and lead + entry[0] == goal:
             return 0.0, []  # one piece covers both borders
         if at > goal:
             return NONE, []
-        if goal not in self._memo:
-            self._memo[goal] = self._reach(window, at, self._token(window, lead, entry), goal)
-        score, ids, before = self._memo[goal]
+        key = (lead, entry, goal, ids)
+        if key not in self._memo:
+            self._memo[key] = self._reach(window, at, self._token(window, lead, entry), goal, ids)
+        score, out, before = self._memo[key]
         if leave is None or score == NONE:
-            return score, ids
+            return score, out
         k = self._token(window, border, leave)
         c = window[goal]
         if c not in self.chars and leave[1] - leave[0] == 1:
-            return score, ids + list(self.unknown(c))
-        same_unit = goal not in self._cut_set(window)
-        return score + self.weight(before if same_unit else None, k), [*ids, k]
-
-    def _cut_set(self, window: str) -> set[int]:
-        if getattr(self, "_cuts_of", None) != window:
-            self._cuts_of, self._cuts = window, set(self.cuts(window))
+            return score, out + list(self.unknown(c))
+        cuts = self._cut_list(window)
+        at_cut = (i := bisect_left(cuts, goal)) < len(cuts) and cuts[i] == goal
+        return score + self.weight(None if at_cut else before, k), [*out, k]
+
+    def _cut_list(self, window: str) -> list[int]:
+        if getattr(self, "_cuts_of", None) is not window:
+            self._cuts_of, self._cuts = window, self.cuts(window)
         return self._cuts
 
-    def _reach(self, window: str, at: int, first: int | None, goal: int):
-        """Best path from at, after the piece first, to goal: score, ids, last piece (None at a cut)."""
-        cuts = self._cut_set(window)
-        marks = [at, *sorted(c for c in cuts if at < c < goal), goal] if goal > at else [at]
-        score, ids, before = 0.0, [], None if at in cuts else first
-        for a, b in pairwise(marks):
-            whole = a in cuts and (b in cuts or b == len(window))
-            if whole:
-                unit = self.encode_unit(window[a:b])
-                ids += unit
-                score += sum(self.v.scores[k] for k in unit) if self.v.kind == "unigram" else 0.0
-                before = None
-            else:
-                best, last = self.forward(window, a, b, None if a in cuts else before)
-                if b not in best:
-                    return NONE, [], None
-                score += best[b]
-                ids += self.path(last, a, b)
-                before = None if b in cuts else ids[-1]
-        return score, ids, before
+    def _reach(self, window: str, at: int, first: int | None, goal: int, ids: bool):
+        """Best path from at, after the piece first, to goal: score, ids if asked for, last piece (None at a cut).
+
+        What lies before the first cut and after the last is searched; the units between are encoded whole, and not at
+        all where only the score counts and is 0."""
+        cuts = self._cut_list(window)
+        i, j = bisect_left(cuts, at), bisect_right(cuts, goal) - 1
+        if i > j:
+            return self._search(window, at, goal, first)
+        score, out, (head, tail) = 0.0, [], (cuts[i], cuts[j])
+        if head > at:
+            score, out, _ = self._search(window, at, head, first)
+        if tail > head and score > NONE and (ids or self.v.kind == "unigram"):
+            middle = self._ids(self.unit.findall(window[head:tail]))
+            out = out + middle
+            score += sum(map(self.v.scores.__getitem__, middle)) if self.v.kind == "unigram" else 0.0
+        if goal == tail or score == NONE:
+            return score, out, None
+        if goal == len(window):
+            unit = list(self.encode_unit(window[tail:goal]))
+            return score + (sum(self.v.scores[k] for k in unit) if self.v.kind == "unigram" else 0.0), out + unit, unit[-1]
+        more, rest, before = self._search(window, tail, goal, None)
+        return score + more, out + rest, before
+
+    def _search(self, window: str, a: int, b: int, first: int | None):
+        best, last = self.forward(window, a, b, first)
+        if b not in best:
+            return NONE, [], None
+        ids = self.path(last, a, b)
+        return best[b], ids, ids[-1] if ids else first
 
 
 def maxplus(a: np.ndarray, b: np.ndarray) -> np.ndarray:

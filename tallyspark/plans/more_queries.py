@@ -251,10 +251,10 @@ def s02(s, d):
     return t
 
 
-@query("k05_threshold_upsert", "SELECT c_nationkey AS model, coalesce(b.tau_e, a.tau_e) AS tau_e, coalesce(b.tau_d, a.tau_d) AS tau_d FROM (SELECT c_nationkey, round(avg(c_acctbal), 2) AS tau_e, NULL::DOUBLE AS tau_d FROM customer GROUP BY 1) a FULL JOIN (SELECT s_nationkey AS c_nationkey, NULL::DOUBLE AS tau_e, round(avg(s_acctbal), 2) AS tau_d FROM supplier GROUP BY 1) b USING (c_nationkey)")
+@query("k05_threshold_upsert", "SELECT c_nationkey AS model, coalesce(b.tau_e, a.tau_e) AS tau_e, coalesce(b.tau_d, a.tau_d) AS tau_d FROM (SELECT c_nationkey, max(c_acctbal) AS tau_e, NULL::DOUBLE AS tau_d FROM customer GROUP BY 1) a FULL JOIN (SELECT s_nationkey AS c_nationkey, NULL::DOUBLE AS tau_e, max(s_acctbal) AS tau_d FROM supplier GROUP BY 1) b USING (c_nationkey)")
 def k05(s, d):
-    a = B.table(s, d, "customer").groupBy(F.col("c_nationkey").alias("model")).agg(F.round(F.avg("c_acctbal"), 2).alias("tau_e"))
-    b = B.table(s, d, "supplier").groupBy(F.col("s_nationkey").alias("model")).agg(F.round(F.avg("s_acctbal"), 2).alias("tau_d"))
+    a = B.table(s, d, "customer").groupBy(F.col("c_nationkey").alias("model")).agg(F.max("c_acctbal").alias("tau_e"))
+    b = B.table(s, d, "supplier").groupBy(F.col("s_nationkey").alias("model")).agg(F.max("s_acctbal").alias("tau_d"))
     return R.upsert(a, b, ["model"])
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, gram_hashes, materialize, mix64, slices, word_hashes
+from .common import broadcast_if_small, gram_hashes, materialize, mix64, slices, small, word_hashes
 from .graph import components
 
 
@@ -98,7 +98,7 @@ def features(docs: DataFrame, id_col: str, text_col: str, cfg: NearConfig) -> Da
 
     def run(batches):
         family = _family(cfg)
-        for b in batches:
+        for b in small(batches, 1):
             sets = shingle_sets(b.column(1).to_pylist(), cfg)
             bands = [_bands(signature(s, family), cfg) if len(s) else None for s in sets]
             digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
@@ -181,7 +181,7 @@ def _with_sets(docs: DataFrame, members: DataFrame, id_col: str, text_col: str,
 
     def run(batches):
         family = _family(cfg)
-        for b in batches:
+        for b in small(batches, 3):
             at = b.schema.names.index
             sets = shingle_sets(b.column(at("t")).to_pylist(), cfg)
             yield pa.RecordBatch.from_arrays([b.column(at("id")), b.column(at("cid")), b.column(at("block")), pa.array([signature(s, family).tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "cid", "block", "sig", "set"])

@@ -84,7 +84,7 @@ def _model_type(buf: bytes) -> int:
 
 
 class Encoder:
-    def __init__(self, vocab: Vocabulary, cache_items: int = 450_000):
+    def __init__(self, vocab: Vocabulary, cache_items: int = 100_000):
         self.v = vocab
         self.ids = {p: i for i, p in enumerate(vocab.pieces) if i not in vocab.special}
         self.rank = {p: -vocab.scores[i] for p, i in self.ids.items()}

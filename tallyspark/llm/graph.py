@@ -12,24 +12,24 @@ def components(edges: DataFrame) -> DataFrame:
     """(v, label): for each vertex of edges (a, b: long) the smallest vertex it can reach.
 
     A round points each vertex at its smallest neighbour, follows that pointer once more, and keeps the distinct edges
-    between what is left; pointers only go down, so the last label is the component's smallest vertex.
+    between what is left; pointers only go down, so the last label is the component's smallest vertex. A round writes its
+    pointers and its edges; the labels follow from the pointers of all rounds.
     """
-    spark = edges.sparkSession
     edges = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc-edges")
-    labels = spark.createDataFrame([], "v long, label long")
-    first = True
+    labels = None
     while edges.limit(1).count():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         near = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), F.least("a", "m").alias("m"))
-        near = materialize(near, "cc-near")
         far = near.select(F.col("v").alias("m"), F.col("m").alias("m2"))
         jump = materialize(near.join(far, "m", "left").select("v", F.coalesce("m2", "m").alias("m")), "cc-jump")
-        if first:
-            labels, first = jump.select("v", F.col("m").alias("label")), False
+        if labels is None:
+            labels = jump.select("v", F.col("m").alias("label"))
         else:
             step = jump.select(F.col("v").alias("label"), F.col("m").alias("m"))
-            labels = materialize(labels.join(step, "label", "left").select("v", F.coalesce("m", "label").alias("label")), "cc-labels")
+            labels = labels.join(step, "label", "left").select("v", F.coalesce("m", "label").alias("label"))
         x, y = jump.select(F.col("v").alias("a"), F.col("m").alias("p")), jump.select(F.col("v").alias("b"), F.col("m").alias("q"))
         edges = edges.join(x, "a").join(y, "b").filter("p <> q").select(F.greatest("p", "q").alias("a"), F.least("p", "q").alias("b")).distinct()
         edges = materialize(edges, "cc-edges")
-    return labels
+    if labels is None:
+        return edges.select(F.col("a").alias("v"), F.col("b").alias("label"))
+    return materialize(labels, "cc-labels")

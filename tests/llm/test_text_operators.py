@@ -123,6 +123,41 @@ def test_lm_scores(docs):
     assert lm.score(docs, empty_model, none, out, cfg=cfg).count() == len(toks)
 
 
+def test_lm_tokens_outside_the_classes(spark):
+    """Every token has its own probability given its context, and is a context of its own; all of them sum to one."""
+    rows = [(i, " ".join(f"a{k} b{k}" if (i + k) % 3 else f"b{k} a{k}" for k in range(40))) for i in range(30)]
+    rows = [(i, "the " * 50 + t) for i, t in rows]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    cfg = lm.LmConfig(classes=2, dim=8, batch=64, block_bytes=2000, rate=0.3, rounds=10)
+    model, counts = lm.fit(df, cfg=cfg)
+    c = {bytes(r.token): r.c for r in counts.collect()}
+    rest = [x for x in c if x not in set(model.names)]
+    share = lambda n: (n + 1) / (model.counts[-1] + len(rest) + 1)
+    k, size = model.other, len(model.w["hr"])
+    rows = lm.hashed_rows(rest, size)
+    assert len(set(map(tuple, rows))) == len(rest) == 80  # vectors of their own
+    tilts = {}
+    for before in (b"a1", b"b2"):
+        ids = np.array([[k + rest.index(before), k + i] for i in range(len(rest))])
+        got = [model.logs(i, np.array([0]), rows) for i in ids]
+        tilts[before] = {x: g[1][1] for x, g in zip(rest, got, strict=True)}
+        assert sum(share(c[x]) * math.exp(g[1][1] - g[2][1]) for x, g in zip(rest, got, strict=True)) + share(0) * math.exp(-got[0][2][1]) == pytest.approx(1, abs=1e-5)
+    assert tilts[b"a1"][b"b1"] > tilts[b"b2"][b"b1"]  # the pair that was seen
+    few = lm.LmConfig(classes=2, sample=40)
+    top = [(t, c[t]) for t in model.names]
+    sample = lm.tail_sample(counts, [{"token": t} for t, _ in top], few)
+    assert len(sample) == 40 and sum(w for _, w in sample) == pytest.approx(sum(c[x] + 1 for x in rest), rel=0.35)
+    # the score of a text: its class logarithms, tilted shares of tokens seen, plain ones of others
+    asked = spark.createDataFrame([(1, "the a1 b1 never a2")], "doc_id long, text string")
+    score = lm.score(asked, model, counts, F.lit(True), cfg=cfg).first().score
+    words = [b"a1", b"b1", b"never", b"a2"]
+    index = {t: i for i, t in enumerate(model.names + words)}
+    ids = np.array([index[t] for t in [b"the", *words, b""]])
+    cls, tilt, total = model.logs(ids, np.array([0]), lm.hashed_rows(words, size))
+    want = cls.sum() + sum(math.log(share(c.get(x, 0))) + (tilt[j + 1] if x in c else 0) - total[j + 1] for j, x in enumerate(words))
+    assert score == pytest.approx(want / math.log(10), abs=1e-4)
+
+
 def test_line_dedup(spark):
     rows = [(1, "a\nb\nc\nd"), (2, "x\na\nb\nc"), (2, "x\na\nb\nc"), (3, "a\nb\nc\nb\nc\nd\na\nb\nc"), (4, None), (5, ""), (6, "\n\n\n\n"), (7, "a\nb"), (None, "a\nb\nc")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("pos", F.lit(1)).withColumn("n_lines", F.lit("x"))

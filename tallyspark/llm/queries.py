@@ -37,7 +37,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.with_neighbours(simhash.edited_fingerprints(table(spark, sf_dir, "documents")), every=50)
+    return simhash.with_neighbours(simhash.edited_fingerprints(table(spark, sf_dir, "documents")), every=50, radius=16)
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

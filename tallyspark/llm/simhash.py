@@ -194,14 +194,36 @@ def _edited(rows: list[tuple], cfg: SimHashConfig) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
 
-def with_neighbours(rows: DataFrame, every: int, radius: int = 3, blocks: int = 4) -> DataFrame:
-    """rows (doc_id, fingerprint, ...) and n_within: for ids divisible by `every` the number of other rows whose fingerprint
-    lies within the radius, of all rows; NULL for the rest and for null ids. Found by the block tables over distinct
-    fingerprints, so a group of copies is one entry, and counted without listing documents."""
+def matches_of(queries: DataFrame, classes: DataFrame, radius: int) -> DataFrame:
+    """(fingerprint, n_within, matches): for each distinct query fingerprint, the rows that classes (fingerprint, n) count
+    within the radius, less one, and their distinct fingerprints in order. Exact at every radius: all queries, which every
+    task holds at 16 bytes each, are compared with every class."""
+    asked = [r["fingerprint"] for r in queries.select("fingerprint").filter("fingerprint is not null").distinct().collect()]
+    shared = queries.sparkSession.sparkContext.broadcast(np.frombuffer(bytes.fromhex("".join(asked)), dtype=np.uint64).reshape(-1, 2))
+
+    def run(batches):
+        q = shared.value
+        for b in batches:
+            hexes = b.column(0).to_pylist()
+            m = np.frombuffer(bytes.fromhex("".join(hexes)), dtype=np.uint64).reshape(-1, 2)
+            step = max(1, 1_000_000 // max(1, len(m)))
+            for i in range(0, len(q), step):
+                d = np.bitwise_count(q[i : i + step, None, 0] ^ m[:, 0]) + np.bitwise_count(q[i : i + step, None, 1] ^ m[:, 1])
+                at, of = np.nonzero(d <= radius)
+                if len(at):
+                    yield pa.RecordBatch.from_arrays([pa.array(_hex(q[i + at])), pa.array([hexes[k] for k in of]), b.column(1).take(pa.array(of))], names=["fingerprint", "match", "n"])
+
+    pairs = classes.filter("fingerprint is not null").select("fingerprint", "n").mapInArrow(run, "fingerprint string, match string, n long")
+    return pairs.groupBy("fingerprint").agg((F.sum("n") - 1).alias("n_within"), F.sort_array(F.collect_list("match")).alias("matches"))
+
+
+def with_neighbours(rows: DataFrame, every: int, radius: int = 3) -> DataFrame:
+    """rows (doc_id, fingerprint, ...), n_within and matches: for ids divisible by `every` the number of other rows whose
+    fingerprint lies within the radius, of all rows, and the distinct fingerprints of those and of the row itself; NULL for
+    the rest and for null ids. A group of copies is one entry; join back on the fingerprint for the documents."""
     rows = materialize(rows, "fingerprints")
     asks = F.coalesce(F.col("doc_id") % every == 0, F.lit(False))
     classes = materialize(rows.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n")), "fingerprint-classes")
-    pairs = within_radius(rows.filter(asks), classes, radius, blocks)
-    found = pairs.join(classes.withColumnRenamed("fingerprint", "match"), "match").groupBy("fingerprint").agg((F.sum("n") - 1).alias("n_within"))
-    asked = rows.filter(asks).join(found, "fingerprint", "left").select(*rows.columns, "n_within")
-    return asked.unionByName(rows.filter(~asks).withColumn("n_within", F.lit(None).cast("long")))
+    found = matches_of(rows.filter(asks), classes, radius)
+    asked = rows.filter(asks).join(found, "fingerprint", "left").select(*rows.columns, "n_within", "matches")
+    return asked.unionByName(rows.filter(~asks).withColumn("n_within", F.lit(None).cast("long")).withColumn("matches", F.lit(None).cast("array<string>")))

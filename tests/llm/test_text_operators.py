@@ -101,6 +101,22 @@ def test_block_tables_find_every_pair(spark):
         assert got == {(f"{a:032x}", f"{b:032x}") for a in fps for b in fps if (a ^ b).bit_count() <= radius}
 
 
+def test_neighbours_of_a_wide_radius(spark):
+    """Every match within the radius is found and named, whatever the bits that differ."""
+    rng = random.Random(6)
+    base = [rng.getrandbits(128) for _ in range(5)]
+    fps = base + [b ^ sum(1 << k for k in rng.sample(range(128), rng.randint(4, 20))) for b in base for _ in range(12)] + base[:2]
+    every = [*fps, base[0]]
+    df = spark.createDataFrame([*((i, f"{x:032x}") for i, x in enumerate(fps)), (None, f"{base[0]:032x}")], "doc_id long, fingerprint string")
+    got = {r.doc_id: r for r in simhash.with_neighbours(df, 2, radius=16).collect()}
+    assert len(got) == len(every)
+    for i, x in enumerate(fps):
+        near = [y for y in every if (x ^ y).bit_count() <= 16]
+        assert got[i].n_within == (len(near) - 1 if i % 2 == 0 else None)
+        assert got[i].matches == (sorted({f"{y:032x}" for y in near}) if i % 2 == 0 else None)
+    assert got[None].n_within is None and got[None].matches is None
+
+
 def test_lm_scores(docs):
     held = lambda d: zlib.crc32(str(d).encode()) % 7 == 2
     toks = [(d, [x.lower() for x in words(t)] + [b""]) for d, t, *_ in corpus()]

@@ -30,7 +30,6 @@ class LangConfig:
     epochs: int = 6
     rate: float = 0.02
     seed: int = 7
-    max_langs: int = 200
     slice_bytes: int = 400_000
 
 
@@ -154,7 +153,7 @@ def training_sample(docs: DataFrame, cfg: LangConfig, id_col: str, text_col: str
     order = Window.partitionBy("lang").orderBy("rank", "id", "parts")
     picked = known.select(F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("rank"), F.col(id_col).alias("id"), parts.alias("parts"))
     picked = picked.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= cfg.per_lang)
-    return picked.orderBy("lang", "k").select("lang", "parts").limit(cfg.per_lang * cfg.max_langs).collect()
+    return picked.orderBy("lang", "k").select("lang", "parts").collect()
 
 
 def train(docs: DataFrame, cfg: LangConfig = LangConfig(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> BiGru | None:

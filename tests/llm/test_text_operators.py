@@ -222,6 +222,13 @@ def test_language_id(spark):
     assert {r.lang_pred for r in langid.predict(df, langid.train(df.limit(0), cfg), cfg).collect()} == {"und"}
 
 
+def test_every_language_is_learned(spark):
+    df = spark.createDataFrame([(i, "some text", f"l{i // 2:03d}") for i in range(460)], "doc_id long, text string, lang string")
+    # of 230 languages, 30 more than a limit of 200 let through
+    sample = langid.training_sample(df, langid.LangConfig(per_lang=1), "doc_id", "text", "lang")
+    assert [r["lang"] for r in sample] == [f"l{i:03d}" for i in range(230)]
+
+
 def test_bigru_gradients():
     net = langid.BiGru(["a", "b"], 3, 1)
     net.w = {k: v.astype(np.float64) for k, v in net.w.items()}

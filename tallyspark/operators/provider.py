@@ -1,4 +1,4 @@
-"""Model calls as tables (M01-M13): a provider turns prompts into samples; everything after it is relational."""
+"""Model calls as tables (M01-M13, without M03 and M12): a provider turns prompts into samples; everything after it is relational."""
 
 from __future__ import annotations
 

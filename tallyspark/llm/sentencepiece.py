@@ -15,12 +15,12 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
 from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,6 +83,90 @@ def _model_type(buf: bytes) -> int:
     return next((v for k, v in _fields(trainer) if k == 3), 1)
 
 
+class Merges:
+    """BPE on many short units at once. A row of the table is a pair of pieces whose joined text is a piece."""
+
+    def __init__(self, ids: dict[str, int], rank: dict[str, float]):
+        self.n = max(ids.values(), default=0) + 1
+        order = np.unique([rank[p] for p in ids], return_inverse=True)[1].ravel() if ids else []
+        at = dict(zip(ids, np.asarray(order).tolist(), strict=True))
+        rows = [(ids[p[:c]] * self.n + ids[p[c:]], at[p], k) for p, k in ids.items() for c in range(1, len(p)) if p[:c] in ids and p[c:] in ids]
+        t = np.array(sorted(rows) or np.empty((0, 3)), dtype=np.int64)
+        self.none = len(ids)
+        size = 1 << max(4, int(4 * len(t)).bit_length())
+        self.mask, self.shift = size - 1, np.uint64(64 - size.bit_length() + 1)
+        self.keys, self.ranks, self.to = np.full(size, -1, dtype=np.int64), np.full(size, self.none, dtype=np.int32), np.zeros(size, dtype=np.int32)
+        slot, todo = self._slot(t[:, 0]), np.arange(len(t))
+        while len(todo):  # of rows that want one free place the first gets it, the others try the next place
+            free = todo[self.keys[slot[todo]] < 0]
+            place, first = np.unique(slot[free], return_index=True)
+            won = free[first]
+            self.keys[place], self.ranks[place], self.to[place] = t[won].T
+            todo = np.setdiff1d(todo, won, assume_unique=True)
+            slot[todo] = (slot[todo] + 1) & self.mask
+        codes = {ord(p): k for p, k in ids.items() if len(p) == 1}
+        self.chars = np.full(0x110000, -1, dtype=np.int32)
+        self.chars[list(codes)] = list(codes.values())
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def find(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank (self.none: no piece) and id of the joined text of each pair; ids under 0 stand for nothing."""
+        key = np.where((a < 0) | (b < 0), -2, a.astype(np.int64) * self.n + b)
+        at = self._slot(key)
+        live = np.flatnonzero((self.keys[at] != key) & (self.keys[at] >= 0))
+        while len(live):
+            at[live] = (at[live] + 1) & self.mask
+            live = live[(self.keys[at[live]] != key[live]) & (self.keys[at[live]] >= 0)]
+        return np.where(self.keys[at] == key, self.ranks[at], self.none), self.to[at]
+
+    def run(self, units: list[str]) -> list[bytes | None]:
+        """The ids of each unit as little-endian int32; None for units with a character that is no piece."""
+        out: list[bytes | None] = [None] * len(units)
+        size = np.array(list(map(len, units)), dtype=np.int64)
+        order = np.argsort(size, kind="stable")
+        for part in np.array_split(order, max(1, len(order) // 8192)):
+            n = size[part]
+            code = np.frombuffer("".join([units[i] for i in part.tolist()]).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+            x = np.full((len(part), int(n.max(initial=1))), -1, dtype=np.int32)
+            inside = np.arange(x.shape[1]) < n[:, None]
+            x[inside] = self.chars[code]
+            known = ((x >= 0) == inside).all(axis=1)
+            part, x = part[known], self._merge(x[known])
+            stay = x >= 0
+            raw, end = x[stay].astype("<i4").tobytes(), (4 * np.cumsum(stay.sum(axis=1))).tolist()
+            for i, lo, hi in zip(part.tolist(), [0, *end], end, strict=False):
+                out[i] = raw[lo:hi]
+        return out
+
+    def _merge(self, x: np.ndarray) -> np.ndarray:
+        """Merges in all rows at once: each time the pair of least rank, of equal ranks the leftmost."""
+        if x.shape[1] < 2 or not len(x):
+            return x
+        rank = self.find(x[:, :-1].ravel(), x[:, 1:].ravel())[0].reshape(len(x), -1)
+        live = np.arange(len(x))
+        while True:
+            i = rank.argmin(axis=1)
+            go = rank[np.arange(len(rank)), i] < self.none
+            live, rank, i = live[go], rank[go], i[go]
+            if not len(live):
+                return x
+            r, w = np.arange(len(live)), x.shape[1]
+            part = np.concatenate([x[live], np.full((len(live), 1), -1, dtype=np.int32)], axis=1)
+            joined = self.find(part[r, i], part[r, i + 1])[1]
+            cols = np.arange(w)
+            part = np.take_along_axis(part, cols + (cols > i[:, None]), axis=1)
+            part[r, i] = joined
+            x[live] = part
+            rank = np.concatenate([rank, np.full((len(live), 1), self.none, dtype=rank.dtype)], axis=1)
+            cols = cols[:-1]
+            rank = np.take_along_axis(rank, cols + (cols > i[:, None]), axis=1)
+            for j in (i - 1, i):
+                ok = np.flatnonzero((j >= 0) & (j < w - 1))
+                rank[ok, j[ok]] = self.find(part[ok, j[ok]], part[ok, j[ok] + 1])[0]
+
+
 class Encoder:
     def __init__(self, vocab: Vocabulary, cache_items: int = 100_000):
         self.v = vocab
@@ -92,20 +176,23 @@ class Encoder:
         self.chars = {c for p in self.ids if len(p) == 1 for c in p}
         if vocab.kind == "unigram":
             self.chars = {c for p in self.ids for c in p}
-        clean = not any(a != SPACE and b == SPACE for p in self.ids for a, b in pairwise(p))
         known = "".join(re.escape(c) for c in sorted(self.chars - {SPACE}))
         s = SPACE if SPACE in self.chars else ""
-        word = f"{s}*[{known}]+|{s}+|." if clean and s else f"[{known}{s}]+|."
+        self.clean = bool(s) and not any(a != SPACE and b == SPACE for p in self.ids for a, b in pairwise(p))
+        word = f"{s}*[{known}]+|{s}+|." if self.clean else f"[{known}{s}]+|."
         self.unit = re.compile(word, re.DOTALL)
+        self.by_word = self.clean and "\n" not in self.chars
+        self.merges = Merges(self.ids, self.rank) if vocab.kind == "bpe" else None
         self.stable: dict[tuple[int, int], bool] = {}
-        self.units: dict[str, tuple[int, ...]] = {}
-        self.old_units: dict[str, tuple[int, ...]] = {}
+        self.now: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         self.cache_items = cache_items
         self.bytes = [p.replace(SPACE, " ").encode() for p in vocab.pieces]
         for i in vocab.special:
             self.bytes[i] = b""
         for b, i in enumerate(vocab.byte_ids or ()):
             self.bytes[i] = bytes([b])
+        self.column = pa.array(self.bytes, pa.binary())
 
     # -- BPE on short strings: defines which pairs are stable
     def merge(self, text: str) -> list[str]:
@@ -153,16 +240,6 @@ class Encoder:
             out.append(k)
         return out[::-1]
 
-    def encode_unit(self, unit: str) -> tuple[int, ...]:
-        got = self.units.get(unit)
-        if got is None:
-            got = self.old_units.get(unit) or self._encode_unit(unit)
-            if len(self.units) >= self.cache_items:  # units in use come back from the table before
-                self.units, self.old_units = {}, self.units
-            if len(unit) <= 32:
-                self.units[unit] = got
-        return got
-
     def _encode_unit(self, unit: str) -> tuple[int, ...]:
         k = self.ids.get(unit)
         if k is not None and self.v.kind == "bpe" and self.weight(None, k) == 0:
@@ -187,22 +264,113 @@ class Encoder:
         """The dummy space before, spaces as U+2581; no other normalisation. Null and empty: empty."""
         return SPACE + text.replace(" ", SPACE) if text else ""
 
-    def encode(self, text: str | None) -> np.ndarray:
-        return np.array(self._ids(self.unit.findall(self.escape(text))), dtype=np.int32)
+    def keys(self, text: str | None) -> list[str]:
+        """The text in parts that no piece crosses: a word stands for a space and the word, "\\n" and a word for both, a key
+        that begins with a space or holds one for itself. No other key begins with a space or a line break."""
+        if not text:
+            return []
+        if not self.by_word or SPACE in text:
+            return [" " + text]
+        first, *lines = text.split("\n")
+        out = [" " + first] if "  " in first or first[:1] == " " else first.split(" ")
+        for line in lines:
+            if "  " in line:
+                out.append("\n" + line)
+            else:
+                words = line.split(" ")
+                words[0] = "\n" + words[0]
+                out += words
+        return out
 
-    def _ids(self, units: list[str]) -> list[int]:
-        got = list(map(self.units.get, units))
-        if None in got:
-            got = [self.encode_unit(u) if g is None else g for u, g in zip(units, got, strict=True)]
-        return list(chain.from_iterable(got))
+    def table(self, keys) -> dict[str, bytes]:
+        """The ids of each distinct key as little-endian int32; those not met of late are encoded together."""
+        got, new = {}, []
+        now, before = self.now, self.before
+        for k in set(keys):
+            x = now.get(k) or before.get(k)
+            if x is None:
+                new.append(k)
+            else:
+                got[k] = x
+        got.update(zip(new, self._encode_keys(new), strict=True))
+        now.update((k, got[k]) for k in got if len(k) <= 32 and " " not in k)
+        if len(now) >= self.cache_items:  # units in use come back from the table before
+            self.now, self.before = {}, now
+        return got
+
+    def _encode_keys(self, keys: list[str]) -> list[bytes]:
+        escaped = [k.replace(" ", SPACE) if k[:1] in ("\n", " ") else SPACE + k for k in keys]
+        if self.merges is None:
+            return [self._bytes(self.unit.findall(e)) for e in escaped]
+        plain = self.clean
+        at = [i for i, e in enumerate(escaped) if plain and len(e) <= 24 and SPACE not in e[1:]]
+        out: list[bytes | None] = [None] * len(keys)
+        for i, x in zip(at, self.merges.run([escaped[i] for i in at]), strict=True):
+            out[i] = x
+        rest = [i for i, x in enumerate(out) if x is None]
+        if rest:  # keys of several units: those go the same way, each distinct one once
+            units = [self.unit.findall(escaped[i]) for i in rest]
+            short = [u for u in set(chain.from_iterable(units)) if len(u) <= 24]
+            ids = dict(zip(short, self.merges.run(short), strict=True))
+            for i, us in zip(rest, units, strict=True):
+                out[i] = b"".join([ids.get(u) or self._bytes([u]) for u in us])
+        return out
+
+    def _bytes(self, units: list[str]) -> bytes:
+        return np.array(list(chain.from_iterable(map(self._encode_unit, units))), dtype="<i4").tobytes()
+
+    def raw(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text as little-endian int32."""
+        keys = list(map(self.keys, texts))
+        get = self.table(chain.from_iterable(keys)).__getitem__
+        return [b"".join(map(get, k)) for k in keys]
+
+    def encode(self, text: str | None) -> np.ndarray:
+        return np.frombuffer(self.raw([text])[0], dtype="<i4")
+
+    def middle(self, escaped: str) -> list[int]:
+        """Ids of a part of an escaped text that begins and ends at cuts."""
+        if not self.by_word:
+            return np.frombuffer(self._bytes(self.unit.findall(escaped)), dtype="<i4").tolist()
+        first, *lines = escaped.split("\n")
+        head, *words = [first] if SPACE * 2 in first else first.split(SPACE)
+        for line in lines:
+            if SPACE * 2 in line:
+                words.append("\n" + line)
+            else:
+                more = line.split(SPACE)
+                more[0] = "\n" + more[0]
+                words += more
+        got = self.table(words)
+        return np.frombuffer(self._bytes(self.unit.findall(head)) + b"".join(map(got.__getitem__, words)), dtype="<i4").tolist()
 
     def decode(self, ids) -> str:
         raw = b"".join(map(self.bytes.__getitem__, ids.tolist() if isinstance(ids, np.ndarray) else ids))
         return raw.decode("utf-8", "replace")[1:] if raw[:1] == b" " else raw.decode("utf-8", "replace")
 
+    def decodes_to(self, flat: np.ndarray, sizes: np.ndarray, texts: pa.Array) -> pa.Array:
+        """Whether decoding gives each text back; flat: the ids of all texts, sizes: how many each has."""
+        pieces = self.column.take(pa.array(flat))
+        off = np.frombuffer(pieces.buffers()[1], dtype=np.int32)[pieces.offset :][: len(flat) + 1]
+        ends = np.ascontiguousarray(off[np.concatenate(([0], np.cumsum(sizes)))])
+        back = pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(ends), pieces.buffers()[2]])
+        full = pc.greater(pc.binary_length(texts), 0)
+        want = pc.if_else(full, pc.binary_join_element_wise(" ", texts, ""), "")
+        return pc.equal(back, want.cast(pa.binary()))
+
     # -- chunks of giant texts. Positions count from the window's start; the chunk is window[lead:lead+size].
-    def cuts(self, window: str) -> list[int]:
-        return [m.start() for m in self.unit.finditer(window)]
+    def is_cut(self, window: str, p: int) -> bool:
+        """Whether a unit begins at p."""
+        if p == 0 or window[p] not in self.chars or window[p - 1] not in self.chars:
+            return True
+        return self.clean and window[p] == SPACE != window[p - 1]
+
+    def first_cut(self, window: str, a: int, b: int) -> int | None:
+        """The first unit that begins in [a, b]."""
+        return next((p for p in range(a, min(b + 1, len(window))) if self.is_cut(window, p)), None)
+
+    def last_cut(self, window: str, a: int, b: int) -> int:
+        return next(p for p in range(min(b, len(window) - 1), a - 1, -1) if self.is_cut(window, p))
 
     def states(self, window: str, border: int) -> list[tuple[int, int]]:
         """Pieces and unknown characters that cover the border or end at it, as (start, end) relative to it."""
@@ -247,35 +415,27 @@ class Encoder:
         c = window[goal]
         if c not in self.chars and leave[1] - leave[0] == 1:
             return score, out + list(self.unknown(c))
-        cuts = self._cut_list(window)
-        at_cut = (i := bisect_left(cuts, goal)) < len(cuts) and cuts[i] == goal
-        return score + self.weight(None if at_cut else before, k), [*out, k]
-
-    def _cut_list(self, window: str) -> list[int]:
-        if getattr(self, "_cuts_of", None) is not window:
-            self._cuts_of, self._cuts = window, self.cuts(window)
-        return self._cuts
+        return score + self.weight(None if self.is_cut(window, goal) else before, k), [*out, k]
 
     def _reach(self, window: str, at: int, first: int | None, goal: int, ids: bool):
         """Best path from at, after the piece first, to goal: score, ids if asked for, last piece (None at a cut).
 
         What lies before the first cut and after the last is searched; the units between are encoded whole, and not at
         all where only the score counts and is 0."""
-        cuts = self._cut_list(window)
-        i, j = bisect_left(cuts, at), bisect_right(cuts, goal) - 1
-        if i > j:
+        head = self.first_cut(window, at, goal)
+        if head is None:
             return self._search(window, at, goal, first)
-        score, out, (head, tail) = 0.0, [], (cuts[i], cuts[j])
+        score, out, tail = 0.0, [], self.last_cut(window, head, goal)
         if head > at:
             score, out, _ = self._search(window, at, head, first)
         if tail > head and score > NONE and (ids or self.v.kind == "unigram"):
-            middle = self._ids(self.unit.findall(window[head:tail]))
+            middle = self.middle(window[head:tail])
             out = out + middle
             score += sum(map(self.v.scores.__getitem__, middle)) if self.v.kind == "unigram" else 0.0
         if goal == tail or score == NONE:
             return score, out, None
         if goal == len(window):
-            unit = list(self.encode_unit(window[tail:goal]))
+            unit = list(self._encode_unit(window[tail:goal]))
             return score + (sum(self.v.scores[k] for k in unit) if self.v.kind == "unigram" else 0.0), out + unit, unit[-1]
         more, rest, before = self._search(window, tail, goal, None)
         return score + more, out + rest, before
@@ -332,14 +492,15 @@ DIGEST = "n_tokens long, ids_sha256 string"
 IDS = "token_ids array<int>"
 
 
-def _result(keys, ids: list, n: list, same: list, id_col: str, digest: bool) -> pa.RecordBatch:
-    """Rows of encode(): the ids themselves, or their number and the SHA-256 of them as little-endian int32."""
+def _result(enc: Encoder, keys: pa.Array, texts: pa.Array, raw: list[bytes], id_col: str, digest: bool) -> pa.RecordBatch:
+    """Rows of encode() from each text's ids as little-endian int32: the ids themselves, or their number and SHA-256."""
+    flat, sizes = np.frombuffer(b"".join(raw), dtype="<i4"), np.array(list(map(len, raw)), dtype=np.int64) // 4
     if digest:
-        made = {"n_tokens": pa.array([len(x) for x in ids], pa.int64()), "ids_sha256": pa.array([hashlib.sha256(np.asarray(x, dtype="<i4").tobytes()).hexdigest() for x in ids], pa.string())}
+        made = {"n_tokens": pa.array(sizes), "ids_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in raw], pa.string())}
     else:
-        off = pa.array(np.cumsum([0] + [len(x) for x in ids]), pa.int32())
-        made = {"token_ids": pa.ListArray.from_arrays(off, pa.array(np.concatenate([np.asarray(x, dtype=np.int32) for x in ids]) if ids else np.empty(0, np.int32)))}
-    cols = {id_col: keys, "n_chars": pa.array(n, pa.int64()), **made, "decoded_equal": pa.array(same, pa.bool_())}
+        made = {"token_ids": pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(flat, pa.int32()))}
+    texts = pc.fill_null(texts, "")
+    cols = {id_col: keys, "n_chars": pc.utf8_length(texts).cast(pa.int64()), **made, "decoded_equal": enc.decodes_to(flat, sizes, texts)}
     return pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
 
@@ -359,9 +520,7 @@ def encode(docs: DataFrame, vocab: Vocabulary, id_col: str = "doc_id", text_col:
     def whole(batches):
         enc = _encoder(shared)
         for b in small(batches, 1, 2_000_000):
-            texts = [t or "" for t in b.column(1).to_pylist()]
-            ids = [enc.encode(t) for t in texts]
-            yield _result(b.column(0), ids, [len(t) for t in texts], [enc.decode(x) == t for x, t in zip(ids, texts, strict=True)], id_col, digest)
+            yield _result(enc, b.column(0), b.column(1), enc.raw(b.column(1).to_pylist()), id_col, digest)
 
     long = F.coalesce(F.length(text_col), F.lit(0)) >= chunk_chars
     short = docs.select(id_col, text_col).filter(~long).mapInArrow(whole, out)
@@ -416,8 +575,7 @@ def encode_giant(giant: DataFrame, shared, id_col: str, text_col: str, chunk_cha
     def checked(batches):
         enc = _encoder(shared)
         for b in small(batches, 1):
-            texts, ids = b.column(1).to_pylist(), [x.values.to_numpy() for x in b.column(2)]
-            yield _result(b.column(0), ids, [len(t) for t in texts], [enc.decode(x) == t for x, t in zip(ids, texts, strict=True)], id_col, digest)
+            yield _result(enc, b.column(0), b.column(1), [x.values.to_numpy().astype("<i4").tobytes() for x in b.column(2)], id_col, digest)
 
     return named.join(joined, key).select(id_col, text_col, "token_ids").mapInArrow(checked, out)
 

@@ -13,15 +13,15 @@ def components(edges: DataFrame) -> DataFrame:
 
     A round points each vertex at its smallest neighbour, follows that pointer once more, and keeps the distinct edges
     between what is left; pointers only go down, so the last label is the component's smallest vertex. A round writes its
-    pointers and its edges; the labels follow from the pointers of all rounds.
+    pointers and its edges; the labels follow from the pointers of all rounds. Joins read written tables, or what other
+    joins gave, on both sides, so that Spark can split the partitions of a hub, to which many vertices point.
     """
     edges = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc-edges")
     labels = None
     while edges.limit(1).count():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        near = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), F.least("a", "m").alias("m"))
-        far = near.select(F.col("v").alias("m"), F.col("m").alias("m2"))
-        jump = materialize(near.join(far, "m", "left").select("v", F.coalesce("m2", "m").alias("m")), "cc-jump")
+        near = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), F.least("a", "m").alias("m")), "cc-near")
+        jump = near.join(near.select(F.col("v").alias("m"), F.col("m").alias("m2")), "m").select("v", F.col("m2").alias("m"))
         if labels is None:
             labels = jump.select("v", F.col("m").alias("label"))
         else:

@@ -5,7 +5,7 @@ cluster. Within a cluster pairs are compared batch by batch of their signatures;
 probability (uniform prior) that its similarity reaches the threshold falls under `miss`; survivors are verified exactly
 on their full sets. Pairs that are connected already need no check. Components follow from the verified links.
 
-A cluster over `block` classes is split: blocks are linked by themselves, then one member of each block's components
+A cluster over `block` classes or `block_bytes` of sets is split: blocks are linked by themselves, then one member of each block's components
 against the others, then all members of every component but the largest against all rows, block by block.
 """
 
@@ -33,6 +33,7 @@ class NearConfig:
     batch: int = 32
     miss: float = 1e-6
     block: int = 2000
+    block_bytes: int = 32_000_000
     seed: int = 11
     slice_bytes: int = 1_000_000
     max_broadcast_rows: int = 1_000_000
@@ -73,16 +74,16 @@ def shingle_sets(texts: list[str | None], cfg: NearConfig) -> list[np.ndarray]:
 
 def _family(cfg: NearConfig) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(cfg.seed)
-    return rng.integers(0, 2**63, cfg.hashes, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 2**63, cfg.hashes, dtype=np.uint64)
+    return rng.integers(0, 2**31, cfg.hashes, dtype=np.uint32) * np.uint32(2) + np.uint32(1), rng.integers(0, 2**32, cfg.hashes, dtype=np.uint32)
 
 
 def signature(s: np.ndarray, family) -> np.ndarray:
-    """The smallest value of each hash function over the set, as uint32."""
+    """The smallest value of each hash function over the set, of whose 64 bits the lower half is taken."""
     a, b = family
-    low = np.full(len(a), np.iinfo(np.uint64).max, dtype=np.uint64)
+    low, half = np.full(len(a), np.iinfo(np.uint32).max, dtype=np.uint32), s.astype(np.uint32)
     for i in range(0, len(s), 512):  # stays in cache
-        low = np.minimum(low, (s[None, i : i + 512] * a[:, None] + b[:, None]).min(axis=1))
-    return (low >> np.uint64(32)).astype(np.uint32)
+        low = np.minimum(low, (half[None, i : i + 512] * a[:, None] + b[:, None]).min(axis=1))
+    return low
 
 
 def _bands(sig: np.ndarray, cfg: NearConfig) -> np.ndarray:
@@ -176,7 +177,7 @@ def _group_linker(cfg: NearConfig, sided: bool):
 
 
 def _with_sets(docs: DataFrame, members: DataFrame, id_col: str, text_col: str, cfg: NearConfig) -> DataFrame:
-    """members (id, cid, block) with sig and set of the document of that id."""
+    """members (id, cid, block, n) with sig and set of the document of that id."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).join(broadcast_if_small(members, cfg.max_broadcast_rows), "id")
 
     def run(batches):
@@ -184,50 +185,62 @@ def _with_sets(docs: DataFrame, members: DataFrame, id_col: str, text_col: str,
         for b in small(batches, 3):
             at = b.schema.names.index
             sets = shingle_sets(b.column(at("t")).to_pylist(), cfg)
-            yield pa.RecordBatch.from_arrays([b.column(at("id")), b.column(at("cid")), b.column(at("block")), pa.array([signature(s, family).tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "cid", "block", "sig", "set"])
+            yield pa.RecordBatch.from_arrays([b.column(at("id")), b.column(at("cid")), b.column(at("block")), b.column(at("n")), pa.array([signature(s, family).tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "cid", "block", "n", "sig", "set"])
 
-    return rows.select("id", "cid", "block", "t").mapInArrow(run, "id long, cid long, block long, sig binary, set binary")
+    return rows.select("id", "cid", "block", "t", "n").mapInArrow(run, "id long, cid long, block long, n long, sig binary, set binary")
 
 
-def _blocks(members: DataFrame, cfg: NearConfig, key: str = "cid") -> DataFrame:
-    sizes = members.groupBy(key).count().filter(F.col("count") > cfg.block)
-    spread = F.pmod(F.xxhash64("id"), F.ceil(F.col("count") / cfg.block))
-    return members.drop("block").join(sizes, key, "left").withColumn("block", F.coalesce(spread, F.lit(0)).cast("long")).withColumn("large", F.col("count").isNotNull()).drop("count")
+def _parts(rows, shingles, cfg: NearConfig):
+    """How many blocks so many rows with so many shingles in all need."""
+    return F.greatest(F.ceil(rows / cfg.block), F.ceil(8 * shingles / cfg.block_bytes), F.lit(1))
+
+
+def _blocks(members: DataFrame, cfg: NearConfig) -> DataFrame:
+    """members (id, cid, n) with block, and large: whether the cluster has more than one."""
+    parts = members.groupBy("cid").agg(_parts(F.count(F.lit(1)), F.sum("n"), cfg).alias("parts")).filter("parts > 1")
+    t = members.drop("block").join(parts, "cid", "left")
+    return t.withColumn("block", F.coalesce(F.pmod(F.xxhash64("id"), F.col("parts")), F.lit(0)).cast("long")).withColumn("large", F.col("parts").isNotNull()).drop("parts")
+
+
+LINKS = "a long, b long"
 
 
 def links_between(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, cfg: NearConfig) -> DataFrame:
-    """(a, b): verified links that connect the classes (id, bands) as all links would."""
+    """(a, b): verified links that connect the classes (id, n, bands) as all links would."""
     entries = classes.select("id", F.explode("bands").alias("h"))
     tops = entries.groupBy("h").agg(F.min("id").alias("top"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     stars = entries.join(tops, "h").select(F.col("id").alias("a"), F.col("top").alias("b")).filter("a <> b")
-    members = materialize(_blocks(components(stars).select(F.col("v").alias("id"), F.col("label").alias("cid")), cfg), "near-members")
-    rows = materialize(_with_sets(docs, members, id_col, text_col, cfg), "near-sets")
-    links = materialize(rows.groupBy("cid", "block").applyInArrow(_group_linker(cfg, False), "a long, b long"), "near-links")
+    clusters = components(stars).select(F.col("v").alias("id"), F.col("label").alias("cid"))
+    members = materialize(_blocks(clusters.join(classes.select("id", "n"), "id"), cfg), "near-members")
+    rows = _with_sets(docs, members.filter("not large"), id_col, text_col, cfg)
+    links = materialize(rows.groupBy("cid").applyInArrow(_group_linker(cfg, False), LINKS), "near-links")
     if not members.filter("large").limit(1).count():
         return links
-    large = rows.join(broadcast_if_small(members.filter("large").select("cid").distinct(), cfg.max_broadcast_rows), "cid", "left_semi")
+    large = materialize(_with_sets(docs, members.filter("large"), id_col, text_col, cfg), "near-sets")
+    links = materialize(links.unionByName(large.groupBy("cid", "block").applyInArrow(_group_linker(cfg, False), LINKS)), "near-links")
     pivots = None
     while True:  # one member of each component found so far against the others, until a level fits in one block each
         comp = components(links).withColumnRenamed("v", "id")
         state = large.drop("block").join(comp, "id", "left").withColumn("comp", F.coalesce("label", "id")).drop("label")
-        heads = _blocks(state.filter("id = comp").select("id", "cid"), cfg)
-        heads = materialize(heads, "near-heads")
+        heads = materialize(_blocks(state.filter("id = comp").select("id", "cid", "n"), cfg), "near-heads")
         n = heads.count()
         if n == pivots or not heads.groupBy("cid").count().filter("count > 1").limit(1).count():
             break
         pivots = n
         level = state.select("id", "cid", "sig", "set").join(heads.select("id", "block"), "id")
-        links = materialize(links.unionByName(level.groupBy("cid", "block").applyInArrow(_group_linker(cfg, False), "a long, b long")), "near-links")
-    sizes = state.groupBy("cid", "comp").count()
-    main = materialize(sizes.groupBy("cid").agg(F.max(F.struct("count", "comp")).alias("m"), F.sum("count").alias("all"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("cid", F.col("m.comp").alias("main"), F.col("all"), (F.col("all") - F.col("m.count")).alias("few")), "near-main")
+        links = materialize(links.unionByName(level.groupBy("cid", "block").applyInArrow(_group_linker(cfg, False), LINKS)), "near-links")
+    sizes = state.groupBy("cid", "comp").agg(F.count(F.lit(1)).alias("count"), F.sum("n").alias("n"))
+    total = sizes.groupBy("cid").agg(F.max(F.struct("count", "comp", "n")).alias("m"), F.sum("count").alias("all"), F.sum("n").alias("all_n"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+    few = _parts(F.col("all") - F.col("m.count"), F.col("all_n") - F.col("m.n"), cfg)
+    main = materialize(total.select("cid", F.col("m.comp").alias("main"), _parts(F.col("all"), F.col("all_n"), cfg).alias("cells"), few.alias("groups")), "near-main")
     if not main.limit(1).count():
         return links
-    t = state.join(main, "cid").withColumn("cells", F.ceil(F.col("all") / cfg.block)).withColumn("groups", F.ceil(F.col("few") / cfg.block))
+    t = state.join(main, "cid")
     cell, group = F.pmod(F.xxhash64("id", F.lit(1)), F.col("cells")), F.pmod(F.xxhash64("id", F.lit(2)), F.col("groups"))
     all_rows = t.withColumn("i", cell).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1))).withColumn("side", F.lit(False))
     few_rows = t.filter("comp <> main").withColumn("j", group).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1))).withColumn("side", F.lit(True))
     cols = ["id", "cid", "i", "j", "side", "comp", "sig", "set"]
-    rest = all_rows.select(cols).unionByName(few_rows.select(cols)).groupBy("cid", "i", "j").applyInArrow(_group_linker(cfg, True), "a long, b long")
+    rest = all_rows.select(cols).unionByName(few_rows.select(cols)).groupBy("cid", "i", "j").applyInArrow(_group_linker(cfg, True), LINKS)
     return materialize(links.unionByName(rest), "near-links")
 
 
@@ -239,8 +252,8 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     f = materialize(features(docs, id_col, text_col, cfg), "near-features")
     live = f.filter("n_shingles > 0 and doc_id is not null")
-    same = materialize(live.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands")), "near-classes")
-    classes = same.select(F.col("rep").alias("id"), "bands")
+    same = materialize(live.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"), F.max("n_shingles").alias("n")), "near-classes")
+    classes = same.select(F.col("rep").alias("id"), "n", "bands")
     reps = same.select("digest", "rep")
     # rows of one id with different sets: their classes are linked through that id
     twice = live.groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi"), F.count(F.lit(1)).alias("n")).filter("n > 1 and lo <> hi").select("doc_id")

@@ -223,10 +223,44 @@ def test_language_id(spark):
 
 
 def test_every_language_is_learned(spark):
-    df = spark.createDataFrame([(i, "some text", f"l{i // 2:03d}") for i in range(460)], "doc_id long, text string, lang string")
-    # of 230 languages, 30 more than a limit of 200 let through
-    sample = langid.training_sample(df, langid.LangConfig(per_lang=1), "doc_id", "text", "lang")
-    assert [r["lang"] for r in sample] == [f"l{i:03d}" for i in range(230)]
+    df = spark.createDataFrame([(f"text {j} of {i}", f"l{i:03d}") for i in range(300) for j in range(3)] + [("same", "l000")] * 900, "text string, lang string")
+    sample = langid.training_sample(df, langid.LangConfig(per_lang=3), "text", "lang")
+    assert [r["lang"] for r in sample] == [f"l{i:03d}" for i in range(300) for _ in range(3)]
+    assert len({(r["lang"], r["t"]) for r in sample}) == 900
+
+
+def plain_pass(net, data):
+    """The network's probabilities over a whole text, byte by byte, with the state carried from end to end."""
+    sig, n = (lambda v: 1 / (1 + np.exp(-v))), net.h
+    logits = np.tile(net.w["b"], (len(data), 1))
+    for d, part in (("f", slice(0, n)), ("b", slice(n, 2 * n))):
+        h = np.zeros(n)
+        for t in range(len(data)) if d == "f" else range(len(data) - 1, -1, -1):
+            gx, gh = net.w[d + "x"][data[t]], h @ net.w[d + "h"]
+            z, r = sig(gx[:n] + gh[:n]), sig(gx[n : 2 * n] + gh[n : 2 * n])
+            h = z * h + (1 - z) * np.tanh(gx[2 * n :] + r * gh[2 * n :])
+            logits[t] += h @ net.w["o"][part]
+    p = np.exp(logits)
+    return p / p.sum(axis=1, keepdims=True)
+
+
+def test_language_id_is_a_pass_over_the_whole_text():
+    rng, cfg = random.Random(3), langid.LangConfig(epochs=10, batch=16)
+    texts = ["".join(rng.choice("aeiou " if i % 2 else "bcdfg ") for _ in range(200)) for i in range(40)]
+    cut = langid.Rows([t.encode() for t in texts], cfg.steps)
+    y = np.repeat([i % 2 for i in range(40)], cut.n)
+    net = langid.BiGru(["con", "vow"], cfg.hidden, 3).fit(*(lambda p: (p[0], y, p[1]))(cut.part(0, len(y))), cfg)
+    for size in (1, 200, cfg.row, cfg.row + 1, 5 * cfg.row):
+        text = "".join(rng.choice("aeiou bcd") for _ in range(size - 1)) + "a"
+        data, rows = text.encode(), []
+        for at in range(0, size, cfg.row):  # a row's own bytes, seen with halo bytes on both sides; up to a row the whole text
+            begin = max(0, at - cfg.halo)
+            rows.append(plain_pass(net, data[begin : at + cfg.row + cfg.halo])[at - begin :][: cfg.row])
+        want = np.concatenate(rows)
+        assert len(want) == size
+        (lang,), (score,) = langid.predict_texts(net, [text], cfg)
+        assert score == pytest.approx(want.mean(axis=0).max(), abs=1e-5) and lang == net.langs[want.mean(axis=0).argmax()]
+        assert langid.label_positions(net, text, cfg) == [net.langs[k] for k in want.argmax(axis=1)]
 
 
 def test_bigru_gradients():

@@ -147,27 +147,32 @@ def _any_of(words: list[str]) -> str:
     return "|".join(re.escape(w) for w in words)
 
 
-def strip_wrappers(x, passes: int = 4) -> Column:
-    """\\text{..} and the like, nested up to `passes` deep."""
+def _again(x: Column, mark: str, most: int | None, step) -> Column:
+    """step, as often as x has marks, each of which a step that changes anything takes away one of; `most` times at most."""
+
+    def run(s):
+        n = F.regexp_count(s, F.lit(mark))
+        return F.aggregate(F.array_repeat(F.lit(0), n if most is None else F.least(n, F.lit(most))), s, lambda a, _: step(a))
+
+    return _let(x, run)
+
+
+def strip_wrappers(x) -> Column:
+    """\\text{..} and the like, however deep they are nested."""
     x, names = _c(x), "|".join(TEXT_WRAPPERS)
-    for _ in range(passes):
-        x = F.regexp_replace(F.regexp_replace(x, r"(?U)\\(?:" + names + r")\s*\{([^{}]*)\}", "$1"), r"(?U)\\(?:" + names + r")\s+", "")
-    return x
+    return _again(x, r"\\(?:" + names + ")", None, lambda s: F.regexp_replace(F.regexp_replace(s, r"(?U)\\(?:" + names + r")\s*\{([^{}]*)\}", "$1"), r"(?U)\\(?:" + names + r")\s+", ""))
 
 
-def frac_to_slash(x, passes: int = 4) -> Column:
-    """\\frac{a}{b} as ((a)/(b)), innermost first."""
+def frac_to_slash(x) -> Column:
+    """\\frac{a}{b} as ((a)/(b)), innermost first, in ten rounds at most."""
     x = F.regexp_replace(_c(x), r"\\(?:dfrac|tfrac)\b", r"\\frac")
-    for _ in range(passes):
-        x = F.regexp_replace(x, r"(?U)\\frac\s*\{([^{}]*)\}\s*\{([^{}]*)\}", r"(($1)/($2))")
+    x = _again(x, r"\\frac", 10, lambda s: F.regexp_replace(s, r"(?U)\\frac\s*\{([^{}]*)\}\s*\{([^{}]*)\}", r"(($1)/($2))"))
     return F.regexp_replace(x, r"(?U)\\frac\s+(\S)\s+(\S)", r"(($1)/($2))")
 
 
-def sqrt_plain(x, passes: int = 3) -> Column:
-    """\\sqrt{a} as sqrt(a)."""
-    x = _c(x)
-    for _ in range(passes):
-        x = F.regexp_replace(x, r"(?U)\\sqrt\s*\{([^{}]*)\}", r"sqrt($1)")
+def sqrt_plain(x) -> Column:
+    """\\sqrt{a} as sqrt(a), in five rounds at most."""
+    x = _again(_c(x), r"\\sqrt", 5, lambda s: F.regexp_replace(s, r"(?U)\\sqrt\s*\{([^{}]*)\}", r"sqrt($1)"))
     return F.regexp_replace(x, r"(?U)\\sqrt\s+(\S+)", r"sqrt($1)")
 
 

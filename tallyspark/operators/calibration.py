@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .metrics import r6
+from .metrics import last_wins, r6
 
 
 def auroc(rows: DataFrame, score: str, label: str, by: list[str]) -> DataFrame:
@@ -38,6 +38,11 @@ def roc_points(rows: DataFrame, score: str, label: str, by: list[str]) -> DataFr
     return per.select(*by, F.col(score).alias("threshold"), r6(rate("q"), "fpr"), r6(rate("p"), "tpr"))
 
 
+def _finite(score: str) -> Column:
+    """Neither NULL, NaN nor infinite."""
+    return F.coalesce(~F.isnan(score) & (F.abs(score) < float("inf")), F.lit(False))
+
+
 def sweep(rows: DataFrame, score: str, label: str, lo: float, hi: float, steps: int, min_rate: float, max_rate: float, metric: str = "f1") -> DataFrame:
     """(tau, rate, precision, recall, f1, feasible, chosen) over a grid of thresholds; the lowest feasible tau of
     the best score is chosen (with metric auroc, which tau doesn't change, that is the lowest feasible one).
@@ -47,7 +52,7 @@ def sweep(rows: DataFrame, score: str, label: str, lo: float, hi: float, steps:
     taus = [lo + (hi - lo) * i / (steps - 1) for i in range(steps)]
     grid = rows.sparkSession.createDataFrame(list(enumerate(taus)), "i int, tau double")
     bucket = F.aggregate(F.array(*[F.lit(t) for t in taus]), F.lit(0), lambda n, t: n + (F.col(score) > t).cast("int"))
-    sums = rows.filter(F.col(score).isNotNull() & ~F.isnan(score)).groupBy((bucket - 1).alias("i")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(label)).alias("p"))
+    sums = rows.filter(_finite(score)).groupBy((bucket - 1).alias("i")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(label)).alias("p"))
     totals = sums.agg(F.sum("n").alias("all_n"), F.sum("p").alias("all_p"))
     above = Window.partitionBy(F.lit(0)).orderBy(F.desc("i")).rowsBetween(Window.unboundedPreceding, 0)  # a row per grid point
     t = F.broadcast(grid).join(sums, "i", "left").withColumn("tn", F.coalesce(F.sum("n").over(above), F.lit(0))).withColumn("tp", F.coalesce(F.sum("p").over(above), F.lit(0))).crossJoin(F.broadcast(totals))
@@ -61,20 +66,32 @@ def sweep(rows: DataFrame, score: str, label: str, lo: float, hi: float, steps:
 
 def fallback_threshold(rows: DataFrame, score: str, label: str, none: float = 1.0) -> DataFrame:
     """R05's cases without a sweep: no rows: none; nothing finite: 1.5; one class: the median; else NULL."""
-    fin = F.when(F.col(score).isNotNull() & ~F.isnan(score) & (F.abs(score) < float("inf")), F.col(score))
-    a = rows.agg(F.count(F.lit(1)).alias("n"), F.count(fin).alias("f"), F.min(label).alias("lo"), F.max(label).alias("hi"), F.median(fin).alias("med"))
+    fin = F.when(_finite(score), F.col(score))
+    own = F.when(_finite(score), F.col(label))
+    a = rows.agg(F.count(F.lit(1)).alias("n"), F.count(fin).alias("f"), F.min(own).alias("lo"), F.max(own).alias("hi"), F.median(fin).alias("med"))
     return a.select(F.when(F.col("n") == 0, none).when(F.col("f") == 0, 1.5).when(F.col("lo") == F.col("hi"), F.col("med")).alias("tau"))
 
 
+def choose_threshold(rows: DataFrame, score: str, label: str, lo: float, hi: float, steps: int, min_rate: float, max_rate: float, metric: str = "f1", none: float = 1.0, other: float | None = None) -> DataFrame:
+    """R05 R06 (tau): fallback_threshold's where it has one, else the sweep's choice, else, no tau being feasible, `other`
+    (default: the median of the finite scores)."""
+    chosen = sweep(rows, score, label, lo, hi, steps, min_rate, max_rate, metric).agg(F.max(F.when(F.col("chosen"), F.col("tau"))).alias("c"))
+    median = rows.agg(F.median(F.when(_finite(score), F.col(score))).alias("m"))
+    last = F.col("m") if other is None else F.lit(other)
+    return fallback_threshold(rows, score, label, none).crossJoin(F.broadcast(chosen)).crossJoin(F.broadcast(median)).select(F.coalesce("tau", "c", last).alias("tau"))  # a row each
+
+
 def compare_signals(rows: DataFrame, signals: dict[str, Column], label: str) -> DataFrame:
     """AUROC of several signals over the same rows, in one pass."""
     parts = F.array(*[F.struct(F.lit(k).alias("signal"), v.cast("double").alias("score")) for k, v in signals.items()])
     return auroc(rows.select(label, F.explode(parts).alias("x")).select(label, "x.*"), "score", label, ["signal"])
 
 
-def validate_claim(tokens: DataFrame, triggered: DataFrame) -> DataFrame:
-    """Joins zone tokens with triggered ones, AUROC of entropy, disagreement and their product on what both have."""
-    j = tokens.select("problem_id", "position", "entropy", "wrong").join(triggered.select("problem_id", "position", "disagreement"), ["problem_id", "position"])
+def validate_claim(tokens: DataFrame, triggered: DataFrame, order: str = "disagreement") -> DataFrame:
+    """Joins zone tokens with triggered ones, AUROC of entropy, disagreement and their product on what both have. Of
+    triggered rows of one token the last by `order` counts."""
+    last = last_wins(triggered, ["problem_id", "position"], order)
+    j = tokens.select("problem_id", "position", "entropy", "wrong").join(last.select("problem_id", "position", "disagreement"), ["problem_id", "position"])
     return compare_signals(j, {"entropy": F.col("entropy"), "disagreement": F.col("disagreement"), "product": F.col("entropy") * F.col("disagreement")}, "wrong")
 
 

@@ -43,12 +43,54 @@ def final_answer(text: str = "text") -> Column:
     return F.coalesce(boxed_first(F.col(text)), strip(said), F.lit(""))
 
 
+def _per_value(claim_rows: DataFrame, by: str) -> DataFrame:
+    key = F.when(F.col("content").contains("="), strip(F.lower(F.substring_index("content", "=", 1)))).otherwise(F.lower(F.substring("content", 1, 30)))
+    return claim_rows.groupBy(by, "claim_type", key.alias("content_key"), "value").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"))
+
+
 def clusters(claim_rows: DataFrame, by: str) -> DataFrame:
-    """Clusters of claims about one thing: key, mentions, values, majority value and its share, agreed or not.
+    """Clusters of claims about one thing: key, mentions, values, majority value and its share, agreed or not.
 
     The key is what stands before the first '=', or the first 30 characters; clusters of one mention are left out."""
-    key = F.when(F.col("content").contains("="), strip(F.lower(F.substring_index("content", "=", 1)))).otherwise(F.lower(F.substring("content", 1, 30)))
-    per = claim_rows.groupBy(by, "claim_type", key.alias("content_key"), "value").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"))
+    per = _per_value(claim_rows, by)
     g = per.groupBy(by, "claim_type", "content_key").agg(F.sum("n").alias("mentions"), F.count(F.lit(1)).alias("n_values"), F.max_by("value", F.struct("n", -F.col("first"))).alias("majority_value"), F.max("n").alias("top"))
     g = g.filter("mentions >= 2").withColumn("ratio", F.round(F.col("top") / F.col("mentions"), 6)).withColumn("agreed", F.col("n_values") == 1)
     return g.drop("top")
+
+
+def workspace(samples: DataFrame, claim_rows: DataFrame, by: str = "problem_id", key: str = "answer", idx: str = "sample_idx", limit: int = 800) -> DataFrame:
+    """D08 (by, workspace): the text of a disagreement map, cut after 4 * limit characters.
+
+    Sections: answers by their number; the first five facts that all mentions agree on; five disputed ones, the least
+    agreed first (D04's order); methods by their number; a note by the entropy. Ties keep the order of first mention.
+    claim_rows: (by, claim_type, content, value, pos); may be empty.
+    """
+    ordered = lambda *c: F.array_sort(F.collect_list(F.struct(*c)))
+    join = lambda items: F.array_join(items, "\n")
+    per = samples.groupBy(by, key).agg(F.count(F.lit(1)).alias("n"), F.min(idx).alias("first"))
+    answers = per.groupBy(by).agg(F.sum("n").alias("total"), (F.log2(F.sum("n")) - F.sum(F.col("n") * F.log2("n")) / F.sum("n")).alias("entropy"), ordered((-F.col("n")).alias("r"), "first", F.col(key).alias("k")).alias("answers"))
+
+    rows = _per_value(claim_rows, by).withColumn("text", F.concat(F.col("value"), F.lit(" ("), F.col("n").cast("string"), F.lit(" solutions)")))
+    g = rows.groupBy(by, "claim_type", "content_key").agg(F.sum("n").alias("mentions"), F.max("n").alias("top"), F.min("first").alias("at"), ordered((-F.col("n")).alias("r"), "first", "text", "value").alias("v")).filter("mentions >= 2")
+    agreed = F.size("v") == 1
+    fact = F.concat(F.lit("  - "), "content_key", F.lit(" = "), F.get("v", 0)["value"])
+    dispute = F.concat(F.lit("  - "), "content_key", F.lit(": "), F.array_join(F.transform("v", lambda x: x["text"]), " vs "))
+    g = g.select(by, "at", "claim_type", "content_key", F.when(agreed, fact).alias("fact"), F.when(~agreed, dispute).alias("dispute"), F.when(~agreed, F.col("top") / F.col("mentions")).alias("ratio"))
+    five = lambda text, *order: F.slice(F.array_sort(F.collect_list(F.when(F.col(text).isNotNull(), F.struct(*order, "claim_type", "content_key", F.col(text).alias("t"))))), 1, 5)
+    facts = g.groupBy(by).agg(five("fact", "at").alias("facts"), five("dispute", "ratio", "at").alias("disputes"))
+    used = claim_rows.filter("claim_type = 'method'").groupBy(by, "value").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"))
+    methods = used.groupBy(by).agg(ordered((-F.col("n")).alias("r"), "first", "value").alias("methods"))
+
+    t = answers.join(facts, by, "left").join(methods, by, "left")
+    percent = lambda x: F.bround(-x["r"] / F.col("total") * 100, 0).cast("long").cast("string")
+    count = lambda x: (-x["r"]).cast("string")
+    line = lambda x: F.concat(F.lit("  "), F.coalesce(x["k"], F.lit("")), F.lit(": "), count(x), F.lit("/"), F.col("total").cast("string"), F.lit(" ("), percent(x), F.lit("%)"))
+    section = lambda head, items, text: F.when(F.size(items) > 0, F.concat(F.lit(f"{head}\n"), join(F.transform(items, text)), F.lit("\n\n"))).otherwise("")
+    note = F.when(F.col("entropy") > 1, "NOTE: High disagreement on final answer. Carefully verify each step.").when(F.col("entropy") > 1e-12, "NOTE: Some disagreement exists. Check the disputed claims above.").otherwise("NOTE: All solutions agree. Verify the shared reasoning is correct.")
+    text = F.concat(  # fixed values: the headings, the notes and the forms of lines
+        F.lit("SOLUTION ANALYSIS ("), F.col("total").cast("string"), F.lit(" attempts):\n\n"), section("ANSWER DISTRIBUTION:", F.col("answers"), line),
+        section("AGREED FACTS (all solutions concur):", F.col("facts"), lambda x: x["t"]), section("DISPUTED CLAIMS (solutions disagree):", F.col("disputes"), lambda x: x["t"]),
+        section("APPROACHES USED:", F.col("methods"), lambda x: F.concat(F.lit("  - "), x["value"], F.lit(": "), count(x), F.lit(" solutions"))), note,
+    )
+    whole = t.select(by, text.alias("t"))
+    return whole.select(by, F.when(F.length("t") > 4 * limit, F.concat(F.substring("t", 1, 4 * limit), F.lit("\n[truncated]"))).otherwise(F.col("t")).alias("workspace"))

@@ -43,9 +43,10 @@ def method_metrics(rows: DataFrame) -> DataFrame:
 
 
 def against_baseline(metrics: DataFrame, baseline: str) -> DataFrame:
-    """Differences and ratios against the baseline's row."""
-    base = metrics.filter(F.col("method") == baseline).select(F.col("accuracy").alias("ba"), F.col("mean_tokens").alias("bt"), F.col("mean_wall").alias("bw"))
-    t = metrics.crossJoin(F.broadcast(base.limit(1)))  # one row
+    """Differences and ratios against the baseline's row; without one, against the first method's by name."""
+    pick = F.struct((F.col("method") != baseline).alias("other"), "method")
+    base = metrics.agg(F.min_by("accuracy", pick).alias("ba"), F.min_by("mean_tokens", pick).alias("bt"), F.min_by("mean_wall", pick).alias("bw"))
+    t = metrics.crossJoin(F.broadcast(base))  # one row
     over = lambda a, b: F.col(a) / F.greatest(F.lit(1.0), F.col(b))
     return t.select("method", r6(F.col("accuracy") - F.col("ba"), "delta"), r6(over("mean_tokens", "bt"), "token_ratio"), r6(over("mean_wall", "bw"), "wall_ratio"), r6((F.col("mean_tokens") - F.col("bt")) / F.greatest(F.lit(1.0), F.col("bt")) * 100, "overhead_pct", 4))
 

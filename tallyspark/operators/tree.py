@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import materialize
 from .metrics import r6
 
 
@@ -14,15 +15,20 @@ def children(nodes: DataFrame) -> DataFrame:
 
 
 def paths(nodes: DataFrame) -> DataFrame:
-    """(tree_id, node_id, depth, path): root to node, by a recursive query, one join per level."""
-    nodes.createOrReplaceTempView("_tree_nodes")
-    return nodes.sparkSession.sql("""
-        WITH RECURSIVE walk(tree_id, node_id, depth, path) AS (
-          SELECT tree_id, node_id, 0, cast(node_id AS string) FROM _tree_nodes WHERE parent_id IS NULL
-          UNION ALL
-          SELECT n.tree_id, n.node_id, w.depth + 1, concat(w.path, '>', n.node_id)
-          FROM walk w JOIN _tree_nodes n ON n.tree_id = w.tree_id AND n.parent_id = w.node_id)
-        SELECT * FROM walk""")
+    """(tree_id, node_id, depth, path): root to node, the ids joined by '>'.
+
+    By pointer doubling: each round puts a node's path so far behind that of the node it points at, and points where that
+    one does, so a tree of depth d takes log2(d) + 1 rounds, each a written table. Nodes that no root reaches are left out.
+    """
+    root = F.col("parent_id").isNull()
+    t = nodes.select("tree_id", "node_id", F.col("parent_id").alias("up"), F.when(root, 0).otherwise(1).alias("depth"), F.col("node_id").cast("string").alias("path"))
+    t = materialize(t, "tree-paths")
+    reach, n = 1, t.count()
+    while reach <= 2 * n and t.filter("up is not null").limit(1).count():  # beyond it what is left runs in circles
+        above = t.select("tree_id", F.col("node_id").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("more"), F.col("path").alias("before"))
+        longer = t.filter("up is not null").join(above, ["tree_id", "up"]).select("tree_id", "node_id", F.col("up2").alias("up"), (F.col("depth") + F.col("more")).alias("depth"), F.concat_ws(">", "before", "path").alias("path"))
+        t, reach = materialize(t.filter("up is null").unionByName(longer), "tree-paths"), 2 * reach
+    return t.filter("up is null").drop("up")
 
 
 def at_depth(nodes: DataFrame, depth: int) -> DataFrame:

@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def vote(samples: DataFrame, by: str = "problem_id", key: str = "answer", idx: str = "sample_idx", weight: Column | None = None, representative: Column | None = None, skip_blank: bool = False) -> DataFrame:
+def vote(samples: DataFrame, by: str = "problem_id", key: str = "answer", idx: str = "sample_idx", weight: Column | None = None, representative: Column | None = None, skip_blank: bool = False, fallback: Column | None = None) -> DataFrame:
     """(by, winner, support, n_votes, n_keys, rep_idx): the key with the most weight (default: a vote each); ties go to the
     key seen first. rep_idx: the winner's sample with the largest `representative` (default: the first), ties to the first.
-    V01 V02 V03 V04 V05 V07 V08 are settings of it. With skip_blank, NULL and '' don't vote; a problem without votes is out."""
-    s = samples.filter(F.coalesce(F.col(key), F.lit("")) != "") if skip_blank else samples
+    V01 V02 V03 V04 V05 V07 V08 are settings of it. With skip_blank, NULL and '' don't vote; a problem without any vote has
+    support 0 and, of its samples, that with the largest `fallback` (default: the last), ties to the first."""
     w = F.lit(1).cast("long") if weight is None else weight
+    if skip_blank:
+        votes = F.coalesce(F.col(key), F.lit("")) != ""
+        mute = samples.groupBy(by).agg(F.bool_or(votes).alias("any"), F.max_by(F.struct(key, idx), F.struct((F.col(idx) if fallback is None else fallback).alias("f"), (-F.col(idx)).alias("i"))).alias("s")).filter("not any")
+        voted = vote(samples.filter(votes), by, key, idx, weight, representative)
+        zero = F.lit(0).cast("long")
+        return voted.unionByName(mute.select(by, F.col(f"s.{key}").alias("winner"), zero.cast(voted.schema["support"].dataType).alias("support"), zero.alias("n_votes"), zero.alias("n_keys"), F.col(f"s.{idx}").alias("rep_idx")))
+    s = samples
     rank = F.struct(*([] if representative is None else [representative.alias("r")]), (-F.col(idx)).alias("i"))
     per_key = s.groupBy(by, key).agg(F.sum(w).alias("w"), F.min(idx).alias("first"), F.count(F.lit(1)).alias("n"), F.max_by(F.col(idx), rank).alias("rep"))
     best = F.max_by(F.struct(F.col(key).alias("k"), "w", "rep"), F.struct("w", -F.col("first")))
@@ -38,9 +47,10 @@ def disagreement(samples: DataFrame, by: str = "problem_id", key: str = "answer"
     return g.withColumn("confidence", F.when(F.col("entropy") > 0, F.col("fraction") / (1 + F.col("entropy"))).otherwise(F.col("fraction"))).drop("nl")
 
 
-def pass_at_k(samples: DataFrame, gold: DataFrame, ks: list[int], by: str = "problem_id", key: str = "answer", idx: str = "sample_idx") -> DataFrame:
-    """For each k whether one of the first k samples has the gold answer (by, gold)."""
-    hit = samples.join(gold, by).groupBy(by).agg(F.min(F.when(F.col(key) == F.col("gold"), F.col(idx))).alias("at"))
+def pass_at_k(samples: DataFrame, gold: DataFrame, ks: list[int], by: str = "problem_id", key: str = "answer", idx: str = "sample_idx", match: Callable[[Column, Column], Column] = Column.__eq__) -> DataFrame:
+    """For each k whether one of the first k samples has the gold answer (by, gold), by equality or by `match`, such as
+    functions.answers.matches_simple."""
+    hit = samples.join(gold, by).groupBy(by).agg(F.min(F.when(match(F.col(key), F.col("gold")), F.col(idx))).alias("at"))
     return hit.select(by, *[F.coalesce(F.col("at") < k, F.lit(False)).alias(f"pass_{k}") for k in ks])
 
 

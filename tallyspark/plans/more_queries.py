@@ -14,6 +14,7 @@ from ..operators import tree as T
 from ..operators import vectors as V
 from ..operators import voting as Q
 from ..sources import loaders as L
+from ..shared import materialize
 from ..sources import readers as R
 from . import bridge as B
 from .queries import DEDUP, METRICS, query
@@ -135,11 +136,17 @@ def d05(s, d):
     return CL.claims(t, ["p_partkey"]).filter("claim_type = 'method'").groupBy(F.col("value").alias("method")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("d08_workspace", "SELECT problem_id, string_agg(answer || ' x' || n, '; ' ORDER BY n DESC, first) AS lines FROM (SELECT *, row_number() OVER (PARTITION BY problem_id ORDER BY n DESC, first) AS k FROM (SELECT problem_id, answer, count(*) AS n, min(sample_idx) AS first FROM b2 GROUP BY ALL)) WHERE k <= 5 GROUP BY problem_id", B.SAMPLES)
+@query(
+    "d08_workspace",
+    """SELECT problem_id, 'SOLUTION ANALYSIS (' || total || ' attempts):' || chr(10) || chr(10) || 'ANSWER DISTRIBUTION:' || chr(10) || lines || chr(10) || chr(10)
+      || CASE WHEN entropy > 1 THEN 'NOTE: High disagreement on final answer. Carefully verify each step.' WHEN entropy > 1e-12 THEN 'NOTE: Some disagreement exists. Check the disputed claims above.' ELSE 'NOTE: All solutions agree. Verify the shared reasoning is correct.' END AS workspace
+    FROM (SELECT problem_id, max(total) AS total, -sum(n / total * log2(n / total)) AS entropy, string_agg('  ' || answer || ': ' || n || '/' || total || ' (' || round_even(n / total * 100, 0)::BIGINT || '%)', chr(10) ORDER BY n DESC, first) AS lines
+      FROM (SELECT *, sum(n) OVER (PARTITION BY problem_id)::BIGINT AS total FROM (SELECT problem_id, coalesce(answer, '') AS answer, count(*) AS n, min(sample_idx) AS first FROM b2 GROUP BY ALL)) GROUP BY problem_id)""",
+    B.SAMPLES,
+)
 def d08(s, d):
-    per = B.samples(s, d).groupBy("problem_id", "answer").agg(F.count(F.lit(1)).alias("n"), F.min("sample_idx").alias("first"))
-    top = per.groupBy("problem_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("r"), "first", "answer"))), 1, 5).alias("t"))
-    return top.select("problem_id", F.array_join(F.transform("t", lambda x: F.concat(x["answer"], F.lit(" x"), (-x["r"]).cast("string"))), "; ").alias("lines"))
+    none = s.createDataFrame([], "problem_id long, claim_type string, content string, value string, pos int")
+    return CL.workspace(B.samples(s, d), none)
 
 
 # ---- votes and metrics
@@ -266,15 +273,9 @@ def k10(s, d):
 @query("m10_deliberation")
 def m10(s, d):
     """The round loop over a deterministic provider; each round is a table in the shared folder."""
-    import tempfile
-    import uuid
-
-    base = s.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tallyspark_")
 
     def save(df, name):
-        path = f"{base.rstrip('/')}/rounds-{name}-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return s.read.schema(df.schema).parquet(path)
+        return materialize(df, f"rounds-{name}")
 
     prompts = B.table(s, d, "part").select(F.col("p_partkey").alias("problem_id"), F.col("p_name").alias("prompt"))
     votes, maps = P.deliberate(prompts, P.StubProvider(3), 4, 2, 3, 0.5, save)

@@ -55,7 +55,10 @@ def v01(s, d):
     return Q.vote(B.samples(s, d))
 
 
-@query("v02_longest_representative", _vote_sql(rep="arg_max(sample_idx, {'l': length(text), 'i': -sample_idx})", where="WHERE answer <> ''"), B.SAMPLES)
+_MUTE = " UNION ALL SELECT problem_id, arg_max({{'a': answer}}, {0}).a, 0, 0, 0, arg_max(sample_idx, {0}) FROM b2 GROUP BY problem_id HAVING count(nullif(answer, '')) = 0"  # problems without a vote
+
+
+@query("v02_longest_representative", _vote_sql(rep="arg_max(sample_idx, {'l': length(text), 'i': -sample_idx})", where="WHERE answer <> ''") + _MUTE.format("sample_idx"), B.SAMPLES)
 def v02(s, d):
     return Q.vote(B.samples(s, d), representative=F.length("text"), skip_blank=True)
 
@@ -73,9 +76,9 @@ def v04(s, d):
     return Q.vote(B.samples(s, d), representative=F.col("reward"))
 
 
-@query("v05_sampling_vote", _vote_sql(weight=_CENTS, rep="arg_max(sample_idx, {'r': reward, 'i': -sample_idx})", where="WHERE answer <> ''"), B.SAMPLES)
+@query("v05_sampling_vote", _vote_sql(weight=_CENTS, rep="arg_max(sample_idx, {'r': reward, 'i': -sample_idx})", where="WHERE answer <> ''") + _MUTE.format("{'r': reward, 'i': -sample_idx}"), B.SAMPLES)
 def v05(s, d):
-    return Q.vote(B.samples(s, d), weight=F.round(F.col("reward") * 100).cast("long"), representative=F.col("reward"), skip_blank=True)
+    return Q.vote(B.samples(s, d), weight=F.round(F.col("reward") * 100).cast("long"), representative=F.col("reward"), skip_blank=True, fallback=F.col("reward"))
 
 
 @query("v06_best_reward", "SELECT problem_id, max(reward) AS best, arg_max(sample_idx, {'r': reward, 'i': -sample_idx}) AS rep_idx FROM b2 GROUP BY problem_id", B.SAMPLES)

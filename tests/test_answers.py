@@ -74,3 +74,20 @@ def test_text_helpers(spark):
     assert one(spark, A.question_of(p), "1+1?") == "1+1?"
     assert one(spark, A.score_prediction("c0", "c1"), "so \\boxed{5}", "5.0").correct
     assert one(spark, A.last_number("c0"), "the answer is 1,5") == "15"
+
+
+def test_nesting_of_any_depth(spark):
+    deep = "x"
+    for name in A.TEXT_WRAPPERS[:9]:
+        deep = f"\\{name}{{{deep}}}"
+    assert one(spark, A.strip_wrappers("c0"), deep) == "x"
+    frac, want = "1", "1"
+    for _ in range(10):
+        frac, want = f"\\frac{{{frac}}}{{2}}", f"(({want})/(2))"
+    assert one(spark, A.frac_to_slash("c0"), frac) == want
+    assert "\\frac" in one(spark, A.frac_to_slash("c0"), f"\\frac{{{frac}}}{{2}}")  # the eleventh round isn't there
+    root, want = "a", "a"
+    for _ in range(5):
+        root, want = f"\\sqrt{{{root}}}", f"sqrt({want})"
+    assert one(spark, A.sqrt_plain("c0"), root) == want
+    assert one(spark, A.strip_wrappers("c0"), "plain") == "plain" and one(spark, A.strip_wrappers("c0"), "") == ""

@@ -53,7 +53,8 @@ def test_vote_ties_and_order(spark):
     for t in (df, df.orderBy(F.desc("reward")).repartition(3)):
         got = {r.problem_id: r for r in Q.vote(t).collect()}
         assert (got[1].winner, got[1].support, got[1].rep_idx) == ("b", 2, 0)
-        assert {r.problem_id for r in Q.vote(t, skip_blank=True).collect()} == {1, 3}
+        got = {r.problem_id: (r.winner, r.support, r.rep_idx) for r in Q.vote(t, skip_blank=True).collect()}
+        assert set(got) == {1, 2, 3} and got[2] == (None, 0, 1)  # without a vote, the last sample
         assert {r.problem_id: r.winner for r in Q.vote(t, weight=F.col("reward")).collect()}[1] == "a"
     d = {r.problem_id: r for r in Q.disagreement(df).collect()}
     assert d[1].entropy == 1.0 and d[3].entropy == 0.0 and d[1].confidence == 0.25
@@ -162,3 +163,120 @@ def test_imports_without_the_llm_folders():
         if "llm" not in f.parts:
             names = [getattr(n, "module", None) or "" for n in ast.walk(ast.parse(f.read_text())) if isinstance(n, ast.ImportFrom)]
             assert not any("llm" in n for n in names), f
+
+
+def test_vote_without_votes(spark):
+    from tallyspark.operators import voting
+
+    rows = [(1, 0, "", 0.9), (1, 1, None, 0.2), (2, 0, "a", 0.1), (2, 1, "", 0.9), (3, 0, "", 0.5), (3, 1, "", 0.5)]
+    s = spark.createDataFrame(rows, "problem_id long, sample_idx int, answer string, reward double")
+    last = {r.problem_id: (r.winner, r.support, r.n_votes, r.rep_idx) for r in voting.vote(s, skip_blank=True).collect()}
+    assert last == {1: (None, 0, 0, 1), 2: ("a", 1, 1, 0), 3: ("", 0, 0, 1)}
+    best = {r.problem_id: r.rep_idx for r in voting.vote(s, weight=F.col("reward"), skip_blank=True, fallback=F.col("reward")).collect()}
+    assert best == {1: 0, 2: 0, 3: 0}
+    assert voting.vote(s.limit(0), skip_blank=True).count() == 0
+
+
+def test_pass_at_k_by_a_matcher(spark):
+    from tallyspark.functions import answers
+    from tallyspark.operators import voting
+
+    s = spark.createDataFrame([(1, 0, "1/2"), (1, 1, "7")], "problem_id long, sample_idx int, answer string")
+    gold = spark.createDataFrame([(1, "0.5")], "problem_id long, gold string")
+    assert not voting.pass_at_k(s, gold, [1]).first().pass_1
+    assert voting.pass_at_k(s, gold, [1], match=answers.matches_simple).first().pass_1
+
+
+def test_thresholds_drop_what_is_not_finite(spark):
+    from tallyspark.operators import calibration as C
+
+    inf, nan = float("inf"), float("nan")
+    rows = [(0.5, False), (1.0, False), (2.0, True), (3.0, True)]
+    clean = spark.createDataFrame(rows, "score double, label boolean")
+    dirty = spark.createDataFrame([*rows, (inf, True), (-inf, False), (nan, True), (None, True)], clean.schema)
+    args = ("score", "label", 0.0, 4.0, 9, 0.01, 0.9)
+    assert sorted(C.sweep(clean, *args).collect()) == sorted(C.sweep(dirty, *args).collect())
+    assert C.choose_threshold(dirty, *args).first().tau == 1.0
+    assert C.choose_threshold(clean, "score", "label", 5.0, 6.0, 3, 0.5, 0.6).first().tau == 1.5  # none feasible: the median
+    assert C.choose_threshold(clean, "score", "label", 5.0, 6.0, 3, 0.5, 0.6, other=0.3).first().tau == 0.3
+    one = spark.createDataFrame([(1.0, True), (2.0, True), (inf, False)], clean.schema)
+    assert C.choose_threshold(one, *args).first().tau == 1.5
+    assert C.choose_threshold(dirty.filter("score = double('inf')"), *args).first().tau == 1.5
+    assert C.choose_threshold(clean.limit(0), *args).first().tau == 1.0
+
+
+def test_claim_validation_takes_the_last_of_repeats(spark):
+    from tallyspark.operators import calibration as C
+
+    tokens = spark.createDataFrame([(1, i, i / 4, i > 1) for i in range(4)], "problem_id long, position int, entropy double, wrong boolean")
+    rows = [(1, i, 0.1 * i, 2) for i in range(4)] + [(1, i, 9.0 - i, 1) for i in range(4)]
+    got = C.validate_claim(tokens, spark.createDataFrame(rows, "problem_id long, position int, disagreement double, seq int"), order="seq").collect()
+    assert {(r.signal, r.n_pos, r.n_neg, r.auroc) for r in got} == {(s, 2, 2, 1.0) for s in ("entropy", "disagreement", "product")}
+
+
+def test_baseline_falls_back_to_the_first_method(spark):
+    from tallyspark.operators import metrics
+
+    m = spark.createDataFrame([("b", 0.5, 100.0, 1.0), ("a", 0.25, 50.0, 2.0)], "method string, accuracy double, mean_tokens double, mean_wall double")
+    assert {r.method: r.delta for r in metrics.against_baseline(m, "greedy").collect()} == {"a": 0.0, "b": 0.25}
+    assert {r.method: r.delta for r in metrics.against_baseline(m, "b").collect()} == {"a": -0.25, "b": 0.0}
+
+
+def test_paths_of_deep_trees(spark):
+    from tallyspark.operators import tree
+
+    n = 5000
+    chain = spark.range(n).selectExpr("1L as tree_id", "id as node_id", "if(id = 0, null, id - 1) as parent_id")
+    odd = spark.createDataFrame([(2, 1, 2), (2, 2, 1), (2, 3, 9), (3, 7, None)], "tree_id long, node_id long, parent_id long")  # a circle, an orphan, a root
+    got = tree.paths(chain.unionByName(odd))
+    deep = got.filter("tree_id = 1 and depth = 4999").first()
+    assert deep.node_id == 4999 and deep.path == ">".join(map(str, range(n)))
+    assert got.filter("tree_id = 1").selectExpr("count(*)", "sum(depth)", "bool_and(depth = node_id)").first()[:] == (n, n * (n - 1) // 2, True)
+    assert [tuple(r) for r in got.filter("tree_id > 1").collect()] == [(3, 7, 0, "7")]
+
+
+def test_many_trees(spark):
+    from tallyspark.operators import tree
+
+    nodes = spark.range(300_000).selectExpr("id div 2 as tree_id", "id as node_id", "if(id % 2 = 0, null, id - 1) as parent_id")
+    assert tree.paths(nodes).selectExpr("count(*)", "sum(depth)").first()[:] == (300_000, 150_000)
+
+
+def test_workspace_text(spark):
+    from tallyspark.operators import claims
+
+    samples = spark.createDataFrame([(1, 0, "7"), (1, 1, "7"), (1, 2, "8")], "problem_id long, sample_idx int, answer string")
+    rows = [(1, "intermediate", "x = 3", "3", 0), (1, "intermediate", "x = 3", "3", 4), (1, "intermediate", "y = 1", "1", 1), (1, "intermediate", "y = 2", "2", 5), (1, "intermediate", "y = 2", "2", 6), (1, "method", "induction", "induction", 2)]
+    c = spark.createDataFrame(rows, "problem_id long, claim_type string, content string, value string, pos int")
+    want = """SOLUTION ANALYSIS (3 attempts):
+
+ANSWER DISTRIBUTION:
+  7: 2/3 (67%)
+  8: 1/3 (33%)
+
+AGREED FACTS (all solutions concur):
+  - x = 3
+
+DISPUTED CLAIMS (solutions disagree):
+  - y: 2 (2 solutions) vs 1 (1 solutions)
+
+APPROACHES USED:
+  - induction: 1 solutions
+
+NOTE: Some disagreement exists. Check the disputed claims above."""
+    assert claims.workspace(samples, c).first().workspace == want
+    assert claims.workspace(samples, c, limit=5).first().workspace == want[:20] + "\n[truncated]"
+
+
+def test_entry_without_the_llm_folders(tmp_path):
+    """The rest imports, and only their queries are missing."""
+    import pathlib
+    import shutil
+    import subprocess
+    import sys
+
+    root = pathlib.Path(__file__).parent.parent
+    shutil.copytree(root / "tallyspark", tmp_path / "tallyspark", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 90 and not any(k.startswith('op') or k == 'pipeline' for k in q); assert set(e.oracle_sql()) <= set(q)"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)

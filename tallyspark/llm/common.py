@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
@@ -10,30 +9,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-WORD = r"[^\x20\x09-\x0D]+"
-_CHECKPOINT = "spark.checkpoint.dir"
+from ..shared import materialize, shared_dir
 
+__all__ = ["materialize", "shared_dir"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
-    base = spark.conf.get(_CHECKPOINT, None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="tallyspark_")
-        spark.conf.set(_CHECKPOINT, base)
-    return base.rstrip("/")
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage is cut, and a lost executor loses nothing."""
-    path = new_folder(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     """df, which must be materialised, with a broadcast hint if it has max_rows rows at most; else Spark joins by shuffle."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

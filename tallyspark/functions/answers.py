@@ -360,7 +360,21 @@ def format_prompt(question, model: str) -> Column:
 def question_of(prompt) -> Column:
     """the user's part of a chat prompt, else all of it."""
     p = _c(prompt)
-    return F.when(p.contains("<|im_start|>user\n"), F.substring_index(F.substring_index(p, "<|im_start|>user\n", -1), "<|im_end|>", 1)).otherwise(p)
+    return F.when(p.contains("<|im_start|>user\n"), F.substring_index(F.substring_index(F.substring_index(p, "<|im_start|>user\n", 2), "<|im_start|>user\n", -1), "<|im_end|>", 1)).otherwise(p)
+
+
+# The words of a later round's prompt.
+REFINE = [
+    "<|im_start|>system\nYou are a helpful math assistant. Solve the following problem step by step. Show your reasoning clearly. Put your final answer in \\boxed{}.<|im_end|>\n<|im_start|>user\n",
+    "\n\nHere is an analysis of multiple previous solution attempts:\n<workspace>\n",
+    "\n</workspace>\n\nBased on this analysis, provide a careful solution. Pay special attention to any disputed claims and verify each step. Do not simply repeat previous answers - check the reasoning independently.<|im_end|>\n<|im_start|>assistant\n",
+]
+
+
+def refine_prompt(prompt, workspace) -> Column:
+    """the question of a prompt with a workspace text, as the prompt of a later round; NULL texts are empty."""
+    head, middle, tail = map(F.lit, REFINE)
+    return F.concat(head, F.coalesce(question_of(prompt), F.lit("")), middle, F.coalesce(_c(workspace), F.lit("")), tail)
 
 
 def solution_steps(x) -> Column:

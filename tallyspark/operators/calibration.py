@@ -126,6 +126,21 @@ def zone_stats(rows: DataFrame, tau: float) -> DataFrame:
     return t.withColumn("zone_fraction", F.round(F.col("n_zone") / F.greatest(F.lit(1), F.col("n_zone") + F.col("n_rest")), 6)).withColumn("trigger_rate", F.round(F.col("n_trig") / F.greatest(F.lit(1), F.col("n_zone")), 6))
 
 
+def collect_records(tokens: DataFrame, tau: float, least: int) -> DataFrame:
+    """Each token with its gate (in the zone, from position `least` on, entropy above tau) and, as label of every step,
+    the outcome of its problem: that of the last position."""
+    final = tokens.groupBy("problem_id").agg(F.max_by("correct", "position").alias("final_correct"))
+    gate = (F.col("position") >= least) & F.col("zone") & (F.col("entropy") > tau)
+    return tokens.join(final, "problem_id").select("problem_id", "position", "entropy", "zone", gate.alias("entropy_triggered"), "final_correct")
+
+
+def full_analysis(rows: DataFrame, tau: float) -> DataFrame:
+    """zone_stats and effectiveness in one row, with the triggers a problem of each outcome."""
+    t = zone_stats(rows, tau).crossJoin(F.broadcast(effectiveness(rows, tau)))  # a row each
+    rate = lambda n, a, b: F.round(n / F.greatest(F.lit(1), F.col(a) + F.col(b)), 6)
+    return t.withColumn("rate_in_correct", rate(F.col("n_trig_correct"), "yy", "ny")).withColumn("rate_in_incorrect", rate(F.col("n_trig") - F.col("n_trig_correct"), "yn", "nn"))
+
+
 def effectiveness(rows: DataFrame, tau: float) -> DataFrame:
     """Accuracy of problems with and without an expansion."""
     per = rows.groupBy("problem_id").agg(F.bool_or(F.col("zone") & (F.col("entropy") > tau)).alias("x"), F.max_by("correct", "position").alias("ok"))

@@ -1,4 +1,4 @@
-"""Model calls as tables (M01-M13, without M03 and M12): a provider turns prompts into samples; everything after it is relational."""
+"""Model calls as tables (M01-M13, without M12): a provider turns prompts into samples; everything after it is relational."""
 
 from __future__ import annotations
 
@@ -41,6 +41,14 @@ class ReplayProvider:
         return t.join(prompts.select("problem_id"), "problem_id", "left_semi").select("problem_id", "sample_idx", "text", "answer", "tokens")
 
 
+def rerank(candidates: DataFrame, by: str, rank: str, logprobs: str) -> DataFrame:
+    """M03 (by, rank, score): of each group's lookahead candidates that with the largest sum of log probabilities, the
+    better ranked of equals; a candidate whose lookahead is empty or NULL has 0."""
+    total = F.aggregate(F.coalesce(F.col(logprobs), F.array().cast("array<double>")), F.lit(0.0), lambda s, x: s + x)
+    best = F.max_by(F.struct(F.col(rank), total.alias("score")), F.struct(F.round(total, 9), -F.col(rank)))
+    return candidates.groupBy(by).agg(best.alias("b")).select(by, f"b.{rank}", F.round("b.score", 6).alias("score"))
+
+
 def deliberate(prompts: DataFrame, provider: Provider, first: int, later: int, rounds: int, threshold: float, save: Callable[[DataFrame, str], DataFrame]) -> tuple[DataFrame, DataFrame]:
     """(votes over all rounds, each problem's last disagreement map). A problem stops from the second round on when
     its confidence reaches the threshold. save(df, name) writes a round's table and reads it again."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .metrics import r6
@@ -103,6 +103,25 @@ def kl_topk(ids, probs, pool_ids, pool_probs, vocabulary: int) -> Column:
     return F.greatest(F.lit(0.0), _sum(F.zip_with(scaled(pa), scaled(pb), lambda a, b: a * F.log(a / b))))
 
 
+def sibling_kl(rows: DataFrame, by: str, id_col: str, ids: str, probs: str, vocabulary: int, clamp: float = 5.0) -> DataFrame:
+    """G05 (by, id_col, kl): KL divergence of each sibling's top-k list from the pool of the others of its group, clamped.
+
+    Over the ids of the whole group; an id that a list lacks has a share of the mass it leaves. The pool is the sum of the
+    others' vectors, then normalised; windows before and after a row make it, so no pair is formed and nothing cancels. A
+    lone sibling has 0; rows with an empty list take no part.
+    """
+    rest = F.greatest(F.lit(1e-8), 1 - _sum(F.col(probs))) / F.greatest(F.lit(1), F.lit(vocabulary) - F.size(ids))
+    own = rows.select(by, id_col, rest.alias("rest"), F.explode(F.arrays_zip(F.col(ids).alias("k"), F.col(probs).alias("p"))).alias("x")).select(by, id_col, "rest", "x.k", "x.p")
+    nodes, seen = own.select(by, id_col, "rest").distinct(), own.select(by, "k").distinct()
+    t = nodes.join(seen, by).join(own.drop("rest"), [by, id_col, "k"], "left").withColumn("p", F.when(F.col("p").isNull(), F.col("rest")).otherwise(F.greatest("p", F.lit(1e-8))))
+    w = Window.partitionBy(by, "k").orderBy(id_col)
+    side = lambda a, b: F.coalesce(F.sum("p").over(w.rowsBetween(a, b)), F.lit(0.0))
+    t = t.withColumn("q", side(Window.unboundedPreceding, -1) + side(1, Window.unboundedFollowing))
+    g = t.groupBy(by, id_col).agg(F.sum("p").alias("z"), F.sum("q").alias("y"), F.sum(F.when(F.col("q") > 0, F.col("p") * F.log(F.col("p") / F.col("q")))).alias("a"))
+    kl = F.least(F.lit(clamp), F.greatest(F.lit(0.0), F.col("a") / F.col("z") + F.log(F.col("y") / F.col("z"))))
+    return g.select(by, id_col, r6(F.when(F.col("y") > 0, kl).otherwise(0.0), "kl"))
+
+
 def jaccard(a, b) -> Column:
     """G05's set form: |a and b| / |a or b|, 0 for two empty sets."""
     return F.coalesce(F.try_divide(F.size(F.array_intersect(_c(a), _c(b))).cast("double"), F.size(F.array_union(_c(a), _c(b)))), F.lit(0.0))

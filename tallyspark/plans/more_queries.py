@@ -17,7 +17,7 @@ from ..sources import loaders as L
 from ..shared import materialize
 from ..sources import readers as R
 from . import bridge as B
-from .queries import DEDUP, METRICS, query
+from .queries import DEDUP, METRICS, ORACLE, query
 
 
 def _parts(s, d):
@@ -219,7 +219,10 @@ def e12(s, d):
     return t.select("vec_id", F.round(F.get("x.mixed", 0), 6).alias("m"), F.round("x.spread", 6).alias("spread"))
 
 
-@query("g01_kl_topk")
+_SOFTMAX = "sm AS (SELECT vec_id, grp, list_transform(v, lambda x: exp(x - list_max(v))) AS e FROM b4), sq AS (SELECT vec_id, grp, list_transform(e, lambda x: x / list_sum(e)) AS q FROM sm)"
+
+
+@query("g01_kl_topk", "SELECT vec_id, round(greatest(0, list_sum(list_transform(range(1, 7), lambda i: a[i] * ln(a[i] / b[i]))) / list_sum(a)), 6) AS kl FROM (SELECT vec_id, list_append(p, r) AS a, list_prepend(r, p) AS b FROM (SELECT vec_id, p, greatest(1e-8::DOUBLE, 1 - list_sum(p)) / 59 AS r FROM (SELECT vec_id, list_sort(q, 'DESC')[1:5] AS p FROM sq)))", B.VECTORS, _SOFTMAX)
 def g01(s, d):
     ids = F.sequence(F.lit(1), F.lit(5))
     top = F.transform(V.top_probs("v", 5), lambda p: p)
@@ -227,6 +230,22 @@ def g01(s, d):
     return t.select("vec_id", F.round(V.kl_topk(ids, "p", F.transform(ids, lambda i: i + 1), "p", 64), 6).alias("kl"))
 
 
+@query(
+    "g05_sibling_kl",
+    """SELECT grp, vec_id, round(least(5, greatest(0, sum(p * ln(p / q)) / sum(p) + ln(sum(q) / sum(p)))), 6) AS kl
+    FROM (SELECT a.grp, a.vec_id, a.k, max(a.p) AS p, sum(b.p) AS q FROM de a LEFT JOIN de b ON a.grp = b.grp AND a.k = b.k AND a.vec_id <> b.vec_id GROUP BY ALL) GROUP BY ALL""",
+    B.VECTORS,
+    _SOFTMAX,
+    "t5 AS (SELECT grp, vec_id, i AS k, p FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY p DESC, i) AS r FROM (SELECT grp, vec_id, unnest(q) AS p, unnest(range(len(q))) AS i FROM sq)) WHERE r <= 5)",
+    "de AS (SELECT n.grp, n.vec_id, s.k, CASE WHEN t5.p IS NULL THEN n.rest ELSE greatest(t5.p, 1e-8::DOUBLE) END AS p FROM (SELECT grp, vec_id, greatest(1e-8::DOUBLE, 1 - sum(p)) / 59 AS rest FROM t5 GROUP BY ALL) n JOIN (SELECT DISTINCT grp, k FROM t5) s ON s.grp = n.grp LEFT JOIN t5 ON t5.vec_id = n.vec_id AND t5.k = s.k)",
+)
+def g05_kl(s, d):
+    top = F.slice(F.sort_array(F.transform(V.softmax("v"), lambda x, i: F.struct(x.alias("p"), (-i).alias("i"))), asc=False), 1, 5)
+    t = B.vectors(s, d).select("grp", "vec_id", top.alias("t"))
+    t = t.select("grp", "vec_id", F.transform("t", lambda x: -x["i"]).alias("ids"), F.transform("t", lambda x: x["p"]).alias("probs"))
+    return V.sibling_kl(t, "grp", "vec_id", "ids", "probs", 64)
+
+
 @query("g05_jaccard_siblings", "SELECT a.vec_id, round(len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))), 6) AS j FROM (SELECT vec_id, [vec_id % 7, vec_id % 5 + 3, 20] AS s FROM b4) a JOIN (SELECT vec_id, [vec_id % 7, vec_id % 5 + 3, 20] AS s FROM b4) b ON b.vec_id = a.vec_id + 1", B.VECTORS)
 def g05(s, d):
     t = B.vectors(s, d).select("vec_id", F.array(F.col("vec_id") % 7, F.col("vec_id") % 5 + 3, F.lit(20).cast("long")).alias("a"))
@@ -303,3 +322,25 @@ def w06(s, d):
     per = ends.groupBy("doc_id").agg(F.collect_list("e").alias("e")).join(B.claims_text(s, d), "doc_id")
     c = per.select("doc_id", F.explode(F.transform("e", lambda e: F.substring(F.col("text"), F.greatest(F.lit(1), e - 39), F.least(F.lit(40), e)))).alias("c"))
     return c.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_tokens"), F.max("c").alias("last_in_order"), F.sum(F.length("c")).alias("n_chars"))
+
+
+@query("r09_collector", "SELECT problem_id, position, entropy, zone, position >= 3 AND zone AND entropy > 1.0 AS entropy_triggered, final_correct FROM b3 JOIN (SELECT problem_id, arg_max(correct, position) AS final_correct FROM b3 GROUP BY problem_id) USING (problem_id)", B.TOKENS)
+def r09(s, d):
+    return C.collect_records(B.tokens(s, d), 1.0, 3)
+
+
+@query("a17_full_analysis", f"SELECT *, round(n_trig_correct / greatest(1, yy + ny), 6) AS rate_in_correct, round((n_trig - n_trig_correct) / greatest(1, yn + nn), 6) AS rate_in_incorrect FROM ({ORACLE['a14_trigger_and_zone_stats']}), ({ORACLE['a15_expansion_effectiveness'].replace('entropy > 3.0', 'entropy > 1.0')})")
+def a17(s, d):
+    return C.full_analysis(B.tokens(s, d), 1.0)
+
+
+@query("f26_refine_prompt", "SELECT p_partkey, md5('<|im_start|>system' || chr(10) || 'You are a helpful math assistant. Solve the following problem step by step. Show your reasoning clearly. Put your final answer in \\boxed{}.<|im_end|>' || chr(10) || '<|im_start|>user' || chr(10) || CASE WHEN p_size % 2 = 0 THEN p_name ELSE p_type END || chr(10) || chr(10) || 'Here is an analysis of multiple previous solution attempts:' || chr(10) || '<workspace>' || chr(10) || p_brand || chr(10) || '</workspace>' || chr(10) || chr(10) || 'Based on this analysis, provide a careful solution. Pay special attention to any disputed claims and verify each step. Do not simply repeat previous answers - check the reasoning independently.<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10)) AS prompt_md5 FROM part")
+def f26(s, d):
+    prompt = F.when(F.col("p_size") % 2 == 0, A.format_prompt("p_name", "qwen")).otherwise(F.col("p_type"))
+    return B.table(s, d, "part").select("p_partkey", F.md5(A.refine_prompt(prompt, "p_brand")).alias("prompt_md5"))
+
+
+@query("m03_lookahead", "SELECT problem_id, sample_idx, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY problem_id ORDER BY round(score, 9) DESC, sample_idx) AS k FROM (SELECT problem_id, sample_idx, ln(reward + 0.01) + ln((sample_idx + 1) / 9.0::DOUBLE) AS score FROM b2)) WHERE k = 1", B.SAMPLES)
+def m03(s, d):
+    t = B.samples(s, d).select("problem_id", "sample_idx", F.array(F.log(F.col("reward") + 0.01), F.log((F.col("sample_idx") + 1) / F.lit(9.0))).alias("lp"))
+    return P.rerank(t, "problem_id", "sample_idx", "lp")

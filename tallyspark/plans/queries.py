@@ -339,7 +339,15 @@ def e07(s, d):
     return V.pairwise_disagreement(B.vectors(s, d), "grp", "v")
 
 
-@query("e09_commitment_probe")
+@query(
+    "e09_commitment_probe",
+    """SELECT grp, divergence, divergence >= 0.5 AS unstable, selected, farthest FROM (SELECT grp, arg_min(vec_id, {'d': round(d, 9), 'i': vec_id}) AS selected, round(max(d), 6) AS farthest FROM near GROUP BY grp)
+    JOIN (SELECT x.grp, round(coalesce(greatest(0, least(1, 1 - avg(list_dot_product(x.u, y.u)))), 0), 6) AS divergence FROM un x LEFT JOIN un y ON x.grp = y.grp AND x.vec_id < y.vec_id GROUP BY x.grp) USING (grp)""",
+    B.VECTORS,
+    "un AS (SELECT vec_id, grp, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS u FROM b4)",
+    "ce AS (SELECT grp, list(m ORDER BY i) AS c FROM (SELECT grp, i, avg(x) AS m FROM (SELECT grp, unnest(u) AS x, unnest(range(len(u))) AS i FROM un) GROUP BY grp, i) GROUP BY grp)",
+    "near AS (SELECT grp, vec_id, 1 - list_dot_product(u, c) / sqrt(list_dot_product(c, c)) AS d FROM un JOIN ce USING (grp))",
+)
 def e09(s, d):
     return V.commitment(B.vectors(s, d), "grp", "vec_id", "v", 0.5)
 

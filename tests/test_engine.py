@@ -280,3 +280,23 @@ def test_entry_without_the_llm_folders(tmp_path):
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 90 and not any(k.startswith('op') or k == 'pipeline' for k in q); assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
+
+
+def test_sibling_kl_of_lone_and_equal_lists(spark):
+    rows = [(1, 1, [3, 4], [0.5, 0.25]), (2, 1, [3], [0.5]), (2, 2, [3], [0.5]), (3, 1, [1], [1.0]), (3, 2, [2], [1.0]), (4, 1, [], [])]
+    df = spark.createDataFrame(rows, "grp int, id int, ids array<int>, probs array<double>")
+    got = {(r.grp, r.id): r.kl for r in V.sibling_kl(df, "grp", "id", "ids", "probs", 10).collect()}
+    assert got == {(1, 1): 0.0, (2, 1): 0.0, (2, 2): 0.0, (3, 1): 5.0, (3, 2): 5.0}
+
+
+def test_rerank_ties_and_empty_lookaheads(spark):
+    rows = [(1, 0, [-1.0, -1.0]), (1, 1, [-2.0]), (2, 0, [-0.5]), (2, 1, None), (3, 0, [-3.0]), (3, 1, [-1.0, -1.0])]
+    got = P.rerank(spark.createDataFrame(rows, "g int, k int, lp array<double>"), "g", "k", "lp").collect()
+    assert {(r.g, r.k, r.score) for r in got} == {(1, 0, -2.0), (2, 1, 0.0), (3, 1, -2.0)}
+
+
+def test_collector_labels_every_step_with_the_outcome(spark):
+    rows = [(1, 0, 2.0, True, False), (1, 5, 2.0, True, True), (2, 5, 2.0, False, False), (2, 6, 0.5, True, False)]
+    df = spark.createDataFrame(rows, "problem_id int, position int, entropy double, zone boolean, correct boolean")
+    got = {(r.problem_id, r.position): (r.entropy_triggered, r.final_correct) for r in C.collect_records(df, 1.0, 3).collect()}
+    assert got == {(1, 0): (False, True), (1, 5): (True, True), (2, 5): (False, False), (2, 6): (False, False)}

@@ -25,6 +25,12 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def few(df: DataFrame, amount: int, per: int = 1_000_000) -> DataFrame:
+    """df in twice as many partitions as there are cores at most, or more where `amount` (of rows, unless the caller counts
+    bytes) would put over `per` into one: each written file of a small table costs a process and buffers of an executor."""
+    return df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-amount // per)))
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

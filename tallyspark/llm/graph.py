@@ -5,15 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
-
-ROWS_A_FILE = 1_000_000
-
-
-def _few(df: DataFrame, rows: int) -> DataFrame:
-    """df in twice as many partitions as there are cores at most, or more where `rows` rows would overfill them: a table of
-    a round is small, and each written file costs a process and buffers of an executor."""
-    return df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-rows // ROWS_A_FILE)))
+from .common import few, materialize
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -28,7 +20,7 @@ def components(edges: DataFrame) -> DataFrame:
     labels, n = None, edges.count()  # no later table has more than twice as many rows
     while edges.limit(1).count():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        near = materialize(_few(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), F.least("a", "m").alias("m")), 2 * n), "cc-near")
+        near = materialize(few(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), F.least("a", "m").alias("m")), 2 * n), "cc-near")
         jump = near.join(near.select(F.col("v").alias("m"), F.col("m").alias("m2")), "m").select("v", F.col("m2").alias("m"))
         if labels is None:
             labels = jump.select("v", F.col("m").alias("label"))
@@ -37,7 +29,7 @@ def components(edges: DataFrame) -> DataFrame:
             labels = labels.join(step, "label", "left").select("v", F.coalesce("m", "label").alias("label"))
         x, y = jump.select(F.col("v").alias("a"), F.col("m").alias("p")), jump.select(F.col("v").alias("b"), F.col("m").alias("q"))
         edges = edges.join(x, "a").join(y, "b").filter("p <> q").select(F.greatest("p", "q").alias("a"), F.least("p", "q").alias("b")).distinct()
-        edges = materialize(_few(edges, n), "cc-edges")
+        edges = materialize(few(edges, n), "cc-edges")
     if labels is None:
         return edges.select(F.col("a").alias("v"), F.col("b").alias("label"))
-    return materialize(_few(labels, 2 * n), "cc-labels")
+    return materialize(few(labels, 2 * n), "cc-labels")

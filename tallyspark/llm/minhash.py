@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, gram_hashes, materialize, mix64, slices, small, word_hashes
+from .common import broadcast_if_small, few, gram_hashes, materialize, mix64, slices, small, word_hashes
 from .graph import components
 
 
@@ -205,34 +205,40 @@ def _blocks(members: DataFrame, cfg: NearConfig) -> DataFrame:
 LINKS = "a long, b long"
 
 
+def _linked(groups, shingles: int, cfg: NearConfig) -> DataFrame:
+    """(a, b): links within each group, in few tasks, of which none has many more than block_bytes of all the sets."""
+    return few(groups.applyInArrow(_group_linker(cfg, False), LINKS), 8 * shingles, cfg.block_bytes)
+
+
 def links_between(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, cfg: NearConfig) -> DataFrame:
     """(a, b): verified links that connect the classes (id, n, bands) as all links would."""
     entries = classes.select("id", F.explode("bands").alias("h"))
     tops = entries.groupBy("h").agg(F.min("id").alias("top"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     stars = entries.join(tops, "h").select(F.col("id").alias("a"), F.col("top").alias("b")).filter("a <> b")
     clusters = components(stars).select(F.col("v").alias("id"), F.col("label").alias("cid"))
-    members = materialize(_blocks(clusters.join(classes.select("id", "n"), "id"), cfg), "near-members")
+    members = materialize(few(_blocks(clusters.join(classes.select("id", "n"), "id"), cfg), clusters.count()), "near-members")
+    shingles = {r["large"]: r["n"] for r in members.groupBy("large").agg(F.sum("n").alias("n")).collect()}  # two rows at most
     rows = _with_sets(docs, members.filter("not large"), id_col, text_col, cfg)
-    links = materialize(rows.groupBy("cid").applyInArrow(_group_linker(cfg, False), LINKS), "near-links")
-    if not members.filter("large").limit(1).count():
+    links = materialize(_linked(rows.groupBy("cid"), shingles.get(False, 0), cfg), "near-links")
+    if True not in shingles:
         return links
     large = materialize(_with_sets(docs, members.filter("large"), id_col, text_col, cfg), "near-sets")
-    links = materialize(links.unionByName(large.groupBy("cid", "block").applyInArrow(_group_linker(cfg, False), LINKS)), "near-links")
+    links = materialize(links.unionByName(_linked(large.groupBy("cid", "block"), shingles[True], cfg)), "near-links")
     pivots = None
     while True:  # one member of each component found so far against the others, until a level fits in one block each
         comp = components(links).withColumnRenamed("v", "id")
         state = large.drop("block").join(comp, "id", "left").withColumn("comp", F.coalesce("label", "id")).drop("label")
-        heads = materialize(_blocks(state.filter("id = comp").select("id", "cid", "n"), cfg), "near-heads")
+        heads = materialize(few(_blocks(state.filter("id = comp").select("id", "cid", "n"), cfg), shingles[True], cfg.block_bytes), "near-heads")
         n = heads.count()
         if n == pivots or not heads.groupBy("cid").count().filter("count > 1").limit(1).count():
             break
         pivots = n
         level = state.select("id", "cid", "sig", "set").join(heads.select("id", "block"), "id")
-        links = materialize(links.unionByName(level.groupBy("cid", "block").applyInArrow(_group_linker(cfg, False), LINKS)), "near-links")
+        links = materialize(links.unionByName(_linked(level.groupBy("cid", "block"), shingles[True], cfg)), "near-links")
     sizes = state.groupBy("cid", "comp").agg(F.count(F.lit(1)).alias("count"), F.sum("n").alias("n"))
     total = sizes.groupBy("cid").agg(F.max(F.struct("count", "comp", "n")).alias("m"), F.sum("count").alias("all"), F.sum("n").alias("all_n"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-    few = _parts(F.col("all") - F.col("m.count"), F.col("all_n") - F.col("m.n"), cfg)
-    main = materialize(total.select("cid", F.col("m.comp").alias("main"), _parts(F.col("all"), F.col("all_n"), cfg).alias("cells"), few.alias("groups")), "near-main")
+    least = _parts(F.col("all") - F.col("m.count"), F.col("all_n") - F.col("m.n"), cfg)
+    main = materialize(few(total.select("cid", F.col("m.comp").alias("main"), _parts(F.col("all"), F.col("all_n"), cfg).alias("cells"), least.alias("groups")), shingles[True], cfg.block_bytes), "near-main")
     if not main.limit(1).count():
         return links
     t = state.join(main, "cid")
@@ -252,7 +258,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     f = materialize(features(docs, id_col, text_col, cfg), "near-features")
     live = f.filter("n_shingles > 0 and doc_id is not null")
-    same = materialize(live.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"), F.max("n_shingles").alias("n")), "near-classes")
+    same = materialize(few(live.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"), F.max("n_shingles").alias("n")), f.count(), 100_000), "near-classes")
     classes = same.select(F.col("rep").alias("id"), "n", "bands")
     reps = same.select("digest", "rep")
     # rows of one id with different sets: their classes are linked through that id

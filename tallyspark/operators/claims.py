@@ -68,7 +68,10 @@ def workspace(samples: DataFrame, claim_rows: DataFrame, by: str = "problem_id",
     ordered = lambda *c: F.array_sort(F.collect_list(F.struct(*c)))
     join = lambda items: F.array_join(items, "\n")
     per = samples.groupBy(by, key).agg(F.count(F.lit(1)).alias("n"), F.min(idx).alias("first"))
-    answers = per.groupBy(by).agg(F.sum("n").alias("total"), (F.log2(F.sum("n")) - F.sum(F.col("n") * F.log2("n")) / F.sum("n")).alias("entropy"), ordered((-F.col("n")).alias("r"), "first", F.col(key).alias("k")).alias("answers"))
+    answers = per.groupBy(by).agg(F.sum("n").alias("total"), ordered((-F.col("n")).alias("r"), "first", F.col(key).alias("k")).alias("answers"))
+    share = lambda x: -x["r"] / F.col("total")
+    # From shares, so that an even split has an entropy of exactly 1; log2(10) - log2(5) is above it.
+    answers = answers.withColumn("entropy", F.aggregate("answers", F.lit(0.0), lambda e, x: e - share(x) * F.log2(share(x))))
 
     rows = _per_value(claim_rows, by).withColumn("text", F.concat(F.col("value"), F.lit(" ("), F.col("n").cast("string"), F.lit(" solutions)")))
     g = rows.groupBy(by, "claim_type", "content_key").agg(F.sum("n").alias("mentions"), F.max("n").alias("top"), F.min("first").alias("at"), ordered((-F.col("n")).alias("r"), "first", "text", "value").alias("v")).filter("mentions >= 2")
@@ -82,7 +85,7 @@ def workspace(samples: DataFrame, claim_rows: DataFrame, by: str = "problem_id",
     methods = used.groupBy(by).agg(ordered((-F.col("n")).alias("r"), "first", "value").alias("methods"))
 
     t = answers.join(facts, by, "left").join(methods, by, "left")
-    percent = lambda x: F.bround(-x["r"] / F.col("total") * 100, 0).cast("long").cast("string")
+    percent = lambda x: F.bround(share(x) * 100, 0).cast("long").cast("string")
     count = lambda x: (-x["r"]).cast("string")
     line = lambda x: F.concat(F.lit("  "), F.coalesce(x["k"], F.lit("")), F.lit(": "), count(x), F.lit("/"), F.col("total").cast("string"), F.lit(" ("), percent(x), F.lit("%)"))
     section = lambda head, items, text: F.when(F.size(items) > 0, F.concat(F.lit(f"{head}\n"), join(F.transform(items, text)), F.lit("\n\n"))).otherwise("")

@@ -268,6 +268,18 @@ NOTE: Some disagreement exists. Check the disputed claims above."""
     assert claims.workspace(samples, c, limit=5).first().workspace == want[:20] + "\n[truncated]"
 
 
+def test_workspace_of_even_splits(spark):
+    """Two answers with equal votes have an entropy of exactly 1, which is not above 1, whatever the number of samples."""
+    from tallyspark.operators import claims
+
+    rows = [(n, i, "a" if i % 2 else "b") for n in (2, 10, 12, 24, 26, 28, 144, 208) for i in range(n)] + [(3, i, "abc"[i]) for i in range(3)]
+    samples = spark.createDataFrame(rows, "problem_id long, sample_idx int, answer string")
+    none = spark.createDataFrame([], "problem_id long, claim_type string, content string, value string, pos int")
+    got = {r.problem_id: r.workspace.split("NOTE: ")[1].split(".")[0] for r in claims.workspace(samples, none).collect()}
+    assert got.pop(3) == "High disagreement on final answer"
+    assert set(got.values()) == {"Some disagreement exists"}
+
+
 def test_entry_without_the_llm_folders(tmp_path):
     """The rest imports, and only their queries are missing."""
     import pathlib

@@ -18,11 +18,28 @@ def results(spark: SparkSession, d: str) -> DataFrame:
 RESULTS = "b1 AS (SELECT o_custkey AS problem_id, o_orderpriority AS method, o_orderstatus AS level, 't' || (o_orderkey % 3) AS ptype, o_totalprice > 250000 AS correct, floor(o_totalprice / 100)::BIGINT AS total_tokens, round(o_totalprice / 1000, 3) AS wall, o_orderkey AS ord, o_orderkey % 5 <> 0 AS has_boxed FROM orders)"
 
 
+def _sample_order():
+    return Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
+
+
+_ANSWER = "case when {q} % 7 = 0 then '' else cast(cast({q} as int) % 5 as string) end"
+_TOKENS = "cast(floor({p}) as bigint)"
+
+
 def samples(spark: SparkSession, d: str) -> DataFrame:
     """Sampled solutions with their order within a problem."""
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
-    t = table(spark, d, "lineitem").withColumn("sample_idx", (F.row_number().over(w) - 1).cast("bigint"))
-    return t.selectExpr("l_orderkey problem_id", "sample_idx", "case when l_quantity % 7 = 0 then '' else cast(cast(l_quantity as int) % 5 as string) end answer", "l_discount reward", "cast(floor(l_extendedprice) as bigint) tokens", "repeat('w', cast(l_quantity as int) % 4 + 1) text")
+    t = table(spark, d, "lineitem").withColumn("sample_idx", (F.row_number().over(_sample_order()) - 1).cast("bigint"))
+    return t.selectExpr("l_orderkey problem_id", "sample_idx", _ANSWER.format(q="l_quantity") + " answer", "l_discount reward", _TOKENS.format(p="l_extendedprice") + " tokens", "repeat('w', cast(l_quantity as int) % 4 + 1) text")
+
+
+def first_samples(spark: SparkSession, d: str, n: int) -> DataFrame:
+    """(problem_id, s0, s1, ...): a row per problem with the first n of its samples, as (answer, tokens); null where it has
+    fewer. The pass that orders samples brings those that follow along, so only its sort holds rows."""
+    w = _sample_order()
+    t = table(spark, d, "lineitem").withColumns({"i": F.row_number().over(w), "q0": F.col("l_quantity"), "p0": F.col("l_extendedprice"), "there0": F.lit(True)})
+    t = t.withColumns({f"{c}{k}": F.lead(x, k).over(w) for k in range(1, n) for c, x in (("q", "l_quantity"), ("p", "l_extendedprice"), ("there", F.lit(True)))})
+    one = lambda k: F.when(F.col(f"there{k}"), F.struct(F.expr(_ANSWER.format(q=f"q{k}")).alias("answer"), F.expr(_TOKENS.format(p=f"p{k}")).alias("tokens")))
+    return t.filter("i = 1").select(F.col("l_orderkey").alias("problem_id"), *[one(k).alias(f"s{k}") for k in range(n)])
 
 
 SAMPLES = "b2 AS (SELECT l_orderkey AS problem_id, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) - 1)::BIGINT AS sample_idx, CASE WHEN l_quantity % 7 = 0 THEN '' ELSE (l_quantity::INT % 5)::VARCHAR END AS answer, l_discount AS reward, floor(l_extendedprice)::BIGINT AS tokens, repeat('w', l_quantity::INT % 4 + 1) AS text FROM lineitem)"

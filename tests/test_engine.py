@@ -299,6 +299,25 @@ def test_trailing_context_is_linear(spark, tmp_path):
         assert got[k] == (len(c), max(c), sum(map(len, c)))
 
 
+def test_budget_points_hold_one_row_per_problem(spark, tmp_path):
+    """Votes over the first 1, 2 and 4 samples against brute force; samples aren't multiplied or grouped before the totals."""
+    day = datetime.datetime(2020, 1, 1)
+    rows = [(o, o % 7, o % 3, i, float((o * 5 + i * i * 3) % 11) if (o + i) % 9 else 7.0, 10.5 * i + o, day) for o in range(200) for i in range(o % 7)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_shipdate timestamp").repartition(3).withColumn("l_discount", F.lit(0.1)).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(o, o * 3) for o in range(150)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    df = QUERIES["a37_budget_points"](spark, str(tmp_path))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
+    want = {}
+    for o in range(150):
+        mine = [("" if q % 7 == 0 else str(int(q) % 5), int(p)) for x, _, _, _, q, p, _ in rows if x == o]
+        for k in (1, 2, 4) if mine else ():
+            votes = [a for a, _ in mine[:k]]
+            winner = max(votes, key=lambda a: (votes.count(a), -votes.index(a)))
+            n, c, t = want.get(k, (0, 0, 0))
+            want[k] = (n + 1, c + (winner == str(o * 3 % 5)), t + sum(p for _, p in mine[:k]))
+    assert {r.k: (r.n, r.n_correct, r.total_tokens) for r in df.collect()} == want
+
+
 def test_entry_without_the_llm_folders(tmp_path):
     """The rest imports, and only their queries are missing."""
     import pathlib

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.answers import boxed_first, numeric_value, strip
+from ..functions.answers import boxed_first, numeric_values, plain_number, strip
 
 # Patterns that results depend on.
 EQUATIONS = [r"(?U)([a-zA-Z_]\w*)\s*=\s*([^\n,;]{1,80})", r"(?U)\\([a-zA-Z]+)\s*=\s*([^\n\\]{1,80})"]
@@ -14,27 +16,53 @@ METHODS = [r"coordinate\s+geometry", r"trigonometry|trig", r"the\s+(?:angle|powe
 CHOICE = r"(?Ui)(?:let|setting|define)\s+([A-Za-z])\s*="
 
 
-def _all(text: Column, pattern: str, group: int = 1) -> Column:
-    return F.regexp_extract_all(text, F.lit(pattern), group)
+# Of these (in the order above) an ASCII text in lower case has one at least if the pattern matches.
+EQUATION_HINTS = [["="], ["\\"]]
+RESULT_HINTS = [["therefore", "thus", "hence", "so", "we ", "gives"], ["the answer is", "the result is", "equals"]]
+METHOD_HINTS = [["coordinate"], ["trig"], ["theorem", "lemma"], ["modular"], ["generating"], ["case"], ["induction"], ["substitution"], ["quadratic"]]
+CHOICE_HINTS = ["let", "setting", "define"]
+
+
+def _all(text: str, pattern: str, hints: list[str], group: int = 1) -> Column:
+    """All matches; the pattern only runs over texts that have a hint, or characters outside ASCII."""
+    may = reduce(lambda a, b: a | b, [F.col("low").contains(h) for h in hints], F.col("odd"))
+    return F.when(may, F.regexp_extract_all(F.col(text), F.lit(pattern), group)).otherwise(F.array().cast("array<string>"))
+
 
+def claims(solutions: DataFrame, by: list[str], text: str = "text", unique: bool = False) -> DataFrame:
+    """(by, pos, claim_type, content, value); of one type and value only the first of a solution stays.
 
-def claims(solutions: DataFrame, by: list[str], text: str = "text") -> DataFrame:
-    """(by, pos, claim_type, content, value); of one type and value only the first of a solution stays."""
-    t = F.col(text)
+    unique: no two rows have the same `by`; then nothing is shuffled, as all is done within a row. Python sees only what
+    built-ins can't read as a number."""
+    key = [F.col(b).alias(f"by{i}") for i, b in enumerate(by)]
+    keys = [f"by{i}" for i in range(len(by))]
+    x = solutions.select(*key, F.col(text).alias("t")).withColumns({"low": F.lower("t"), "odd": F.length("t") != F.octet_length("t")})
     made = lambda kind, content, raw: F.struct(F.lit(kind).alias("claim_type"), content.alias("content"), raw.alias("raw"))
     parts = []
-    for p in EQUATIONS:
-        right = F.transform(_all(t, p, 2), lambda s: F.regexp_replace(strip(s), r"\.+$", ""))
-        pairs = F.filter(F.arrays_zip(_all(t, p, 1).alias("l"), right.alias("r")), lambda x: (F.length(x["r"]) >= 2) & ~x["r"].startswith("\\begin"))
+    for p, h in zip(EQUATIONS, EQUATION_HINTS, strict=True):
+        right = F.transform(_all("t", p, h, 2), lambda s: F.regexp_replace(strip(s), r"\.+$", ""))
+        pairs = F.filter(F.arrays_zip(_all("t", p, h, 1).alias("l"), right.alias("r")), lambda x: (F.length(x["r"]) >= 2) & ~x["r"].startswith("\\begin"))
         parts.append(F.transform(pairs, lambda x: made("equation", F.concat(strip(x["l"]), F.lit(" = "), x["r"]), x["r"])))
-    parts += [F.transform(_all(t, p), lambda s: made("intermediate_result", strip(s), strip(s))) for p in RESULTS]
-    methods = [_all(t, r"(?Ui)(?:using|by|via|with)\s+(" + m + ")") for m in METHODS]
-    parts += [F.transform(m, lambda s: made("method", F.lower(strip(s)), F.lower(strip(s)))) for m in methods]
-    parts.append(F.transform(_all(t, CHOICE), lambda s: made("variable_choice", F.lower(strip(s)), F.lower(strip(s)))))
-    x = solutions.select(*by, F.posexplode(F.concat(*parts)).alias("pos", "c")).select(*by, "pos", "c.*")
-    plain = F.col("claim_type").isin("method", "variable_choice")
-    x = x.withColumn("value", F.when(plain, F.col("raw")).otherwise(numeric_value("raw"))).drop("raw")
-    return x.groupBy(*by, "claim_type", "value").agg(F.min(F.struct("pos", "content")).alias("f")).select(*by, "f.pos", "claim_type", "f.content", "value")
+    stripped = [F.transform(_all("t", p, h), strip) for p, h in zip(RESULTS, RESULT_HINTS, strict=True)]
+    parts += [F.transform(m, lambda s: made("intermediate_result", s, s)) for m in stripped]
+    lower = lambda m: F.transform(m, lambda s: F.lower(strip(s)))
+    methods = [lower(_all("t", r"(?Ui)(?:using|by|via|with)\s+(" + m + ")", h)) for m, h in zip(METHODS, METHOD_HINTS, strict=True)]
+    parts += [F.transform(m, lambda s: made("method", s, s)) for m in methods]
+    parts.append(F.transform(lower(_all("t", CHOICE, CHOICE_HINTS)), lambda s: made("variable_choice", s, s)))
+    x = x.select(*keys, F.concat(*parts).alias("c"))
+
+    plain = lambda c: c["claim_type"].isin("method", "variable_choice")
+    value = lambda c: F.when(plain(c), c["raw"]).otherwise(plain_number(c["raw"]))
+    x = x.select(*keys, F.transform("c", lambda c: F.struct(c["claim_type"].alias("claim_type"), c["content"].alias("content"), c["raw"].alias("raw"), value(c).alias("value"))).alias("c"))
+    hard = F.when(F.exists("c", lambda c: c["value"].isNull()), F.transform("c", lambda c: F.when(c["value"].isNull(), c["raw"])))
+    x = x.select(*keys, "c", numeric_values(hard).alias("v"))
+    whole = F.transform("c", lambda c, i: F.struct(c["claim_type"].alias("claim_type"), F.coalesce(c["value"], F.get("v", i)).alias("value"), i.alias("pos"), c["content"].alias("content")))
+    x = x.select(*keys, F.sort_array(whole).alias("c"))
+    again = lambda c, i: (i > 0) & F.get("c", i - 1)["claim_type"].eqNullSafe(c["claim_type"]) & F.get("c", i - 1)["value"].eqNullSafe(c["value"])
+    x = x.select(*keys, F.explode(F.filter("c", lambda c, i: ~again(c, i))).alias("f"))
+    if not unique:
+        x = x.groupBy(*keys, "f.claim_type", "f.value").agg(F.min(F.struct("f.pos", "f.content", "f.claim_type", "f.value")).alias("f"))
+    return x.select(*[F.col(k).alias(b) for k, b in zip(keys, by, strict=True)], "f.pos", "f.claim_type", "f.content", "f.value")
 
 
 def final_answer(text: str = "text") -> Column:

@@ -470,7 +470,7 @@ def u02(s, d):
 @query("u04_claims")
 def u04(s, d):
     t = B.samples(s, d).withColumn("text", F.concat(F.lit("By induction, x = "), "answer", F.lit("7.\nTherefore y is "), F.col("reward").cast("string"), F.lit(". Let n = 3")))
-    return CL.claims(t, ["problem_id", "sample_idx"])
+    return CL.claims(t, ["problem_id", "sample_idx"], unique=True)
 
 
 @query("d03_claim_clusters", """SELECT problem_id, 'equation' AS claim_type, 'x' AS content_key, sum(n)::BIGINT AS mentions, count(*) AS n_values, arg_max(v, {'n': n, 'i': -first}) AS majority_value, round(max(n) / sum(n), 6) AS ratio, count(*) = 1 AS agreed

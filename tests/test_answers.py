@@ -91,3 +91,13 @@ def test_nesting_of_any_depth(spark):
         root, want = f"\\sqrt{{{root}}}", f"sqrt({want})"
     assert one(spark, A.sqrt_plain("c0"), root) == want
     assert one(spark, A.strip_wrappers("c0"), "plain") == "plain" and one(spark, A.strip_wrappers("c0"), "") == ""
+
+
+def test_plain_numbers_are_what_python_prints(spark):
+    """What built-ins claim to read, they read as the function does; the rest is left to it."""
+    texts = ["7", "-7", "007", "-0", "000", "0.50", "-0.0", "0.000", "0.0001", "0.00001", "12.340", "1234567890123.5", "123456789012345", "1234567890123456", "12345678901234.56", "1.", ".5", "1e5", "1E5", "inf", "nan", "Infinity", "1_0", "frac12", "\\frac{1}{2}", "X is 5", "  Bob ", "a,b", "{x}", "Éq", "x\n", "7\n", "7 ", "", "٣", "+5", "x\\left(y", "face", "- 5", "20°"]
+    t = spark.createDataFrame([(x,) for x in texts], "c0 string")
+    got = t.select("c0", A.plain_number("c0").alias("p"), A.numeric_value("c0").alias("n")).collect()
+    assert [(r.c0, r.p) for r in got if r.p is not None and r.p != r.n] == []
+    assert {r.c0 for r in got if r.p is None} >= {"0.00001", "1e5", "inf", "frac12", "a,b", "Éq", "+5"}
+    assert {"7", "-0", "0.50", "X is 5"} <= {r.c0 for r in got if r.p is not None}

@@ -318,6 +318,36 @@ def test_budget_points_hold_one_row_per_problem(spark, tmp_path):
     assert {r.k: (r.n, r.n_correct, r.total_tokens) for r in df.collect()} == want
 
 
+def test_claims_of_odd_texts(spark):
+    """Every pattern, over texts in and outside ASCII; with unique rows nothing is shuffled, and repeated rows merge."""
+    from tallyspark.functions import answers as A
+    from tallyspark.operators import claims as CL
+
+    texts = [None, "", "x = 3. y = 1e3, X = 3, x = 3.0; \\alpha = 5\nz= \\begin{a}", "THEREFORE, y is 0.05. Thus we get x = frac12. The result is 1,000.", "By induction and via casework; using the angle bisector theorem, with TRIG", "LET n = 3, setting k=2 and define q = 0.50", "by ınductıon, vıa caſework = 7, leT K = \u0663.", "with Kelvin = 1. The answer is  inf. equals nan. x = inf", "so x = 2.50. so x = 2.5. hence x = 2.5", "using coordinate geometry by modular  arithmetic with generating function via substitution by the quadratic formula using case analysis"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string")
+    made = lambda kind, content, raw: F.struct(F.lit(kind).alias("claim_type"), content.alias("content"), raw.alias("raw"))
+    every = lambda p, g=1: F.regexp_extract_all("text", F.lit(p), g)
+    parts = []
+    for p in CL.EQUATIONS:
+        right = F.transform(every(p, 2), lambda s: F.regexp_replace(A.strip(s), r"\.+$", ""))
+        pairs = F.filter(F.arrays_zip(every(p).alias("l"), right.alias("r")), lambda x: (F.length(x["r"]) >= 2) & ~x["r"].startswith("\\begin"))
+        parts.append(F.transform(pairs, lambda x: made("equation", F.concat(A.strip(x["l"]), F.lit(" = "), x["r"]), x["r"])))
+    parts += [F.transform(every(p), lambda s: made("intermediate_result", A.strip(s), A.strip(s))) for p in CL.RESULTS]
+    for p in [r"(?Ui)(?:using|by|via|with)\s+(" + m + ")" for m in CL.METHODS] + [CL.CHOICE]:
+        kind = "variable_choice" if p == CL.CHOICE else "method"
+        low = F.transform(every(p), lambda s: F.lower(A.strip(s)))
+        parts.append(F.transform(low, (lambda kind: lambda s: made(kind, s, s))(kind)))
+    rows = df.select("id", F.posexplode(F.concat(*parts)).alias("pos", "c")).select("id", "pos", "c.*", A.numeric_value("c.raw").alias("n")).orderBy("id", "pos").collect()
+    want = {}
+    for r in rows:
+        want.setdefault((r.id, r.claim_type, r.raw if r.claim_type in ("method", "variable_choice") else r.n), (r.pos, r.content))
+    assert {k[1] for k in want} == {"equation", "intermediate_result", "method", "variable_choice"} and len(want) > 20
+    once = CL.claims(df, ["id"], unique=True)
+    assert "Exchange" not in once._jdf.queryExecution().executedPlan().toString()
+    for t in (once, CL.claims(df.union(df), ["id"])):
+        assert sorted(((r.id, r.claim_type, r.value), (r.pos, r.content)) for r in t.collect()) == sorted(want.items())
+
+
 def test_entry_without_the_llm_folders(tmp_path):
     """The rest imports, and only their queries are missing."""
     import pathlib

@@ -2,17 +2,16 @@
 
 Token counts come from all training texts. The most frequent tokens are classes of their own, all others one class. The
 model predicts the next class from the two before: a context vector, the sum of the two token vectors each through a
-matrix, times each class's output vector plus its bias. A token of the other class has vectors of its own: the class's
-plus, as context and as output, two rows of a hashed table, chosen by 64 bits of its hash. Within its class, its
-probability is its add-one share times the exponential of its tilt (context times output vector, bent by x / (1 + |x|) to
-at most cfg.bound either way), over the sum of the same over all tokens of the class and one unseen kind, whose tilt is 0. Tables
-have 4 sqrt(v) rows at least for v types.
+matrix, times each class's output vector plus its bias. A token of the other class has a vector of its own as context: the
+class's plus two rows of a hashed table of 4 sqrt(v) rows at least for v types, chosen by 64 bits of its hash. As output it
+has a row of each of two tables of cfg.buckets rows, by the same hash. Within its class, its probability is its add-one
+share times the exponential of its tilt (the sum over both tables of context times row, bent by x / (1 + |x|), at most
+cfg.bound either way), over the sum of the same over all tokens of the class and one unseen kind, whose tilt is 0.
 
 Each task trains on all tokens of its training texts, starting from shared weights; weights are then averaged by tokens
 seen (rows of hashed tables: by times touched), and a next round may follow. Scores use the exact softmax over classes,
-as matrix products over the distinct contexts of a block. The sum within the other class is exact for up to cfg.sample
-types and else estimated from a bottom-k sample of them, each weighted by its share over its chance to be in the sample;
-the bound on tilts keeps that estimate close.
+as matrix products over the distinct contexts of a block. The sum within the other class is exact too, over all its types:
+the exponentials of one table, times the matrix of the types' shares by their rows in both, times those of the other.
 
 Scoring writes, block by block of texts, the tokens outside the classes once, joins them with the counts, and brings the
 counts back to their block; texts aren't shuffled.
@@ -45,7 +44,8 @@ class LmConfig:
     rounds: int = 1
     seed: int = 5
     block_bytes: int = 16_000_000
-    sample: int = 256
+    buckets: int = 64  # a power of 2 up to 256
+    sample: int = 256  # of tail_sample
     bound: float = 3.0
     chunk: int = 256
 
@@ -87,8 +87,8 @@ class Lbl:
     n: int  # training tokens
     v: int  # distinct training tokens
     w: dict[str, np.ndarray]
-    seen: np.ndarray  # (tokens, 2): rows of the hashed tables of the sampled tokens of the other class
-    share: np.ndarray  # of each of them, within the class; what is left to 1 is the unseen kind's
+    share: np.ndarray  # (buckets, buckets): of all tokens of the other class, within it, by their rows as output
+    unseen: float  # the unseen kind's share
     bound: np.float32  # of tilts
 
     @property
@@ -96,7 +96,8 @@ class Lbl:
         return len(self.names)
 
     @staticmethod
-    def start(top: list[tuple[bytes, int]], n: int, v: int, sample: list[tuple[bytes, float]], cfg: LmConfig) -> Lbl:
+    def start(top: list[tuple[bytes, int]], n: int, v: int, weight: np.ndarray, cfg: LmConfig) -> Lbl:
+        """weight: of the tokens outside top, the sums of c + 1 by their rows as output."""
         rng = np.random.default_rng(cfg.seed)
         k = len(top)
         counts = np.array([c for _, c in top] + [n - sum(c for _, c in top)], dtype=np.float64)
@@ -105,11 +106,9 @@ class Lbl:
         w = {"r": small(k + 2, cfg.dim), "q": small(k + 1, cfg.dim), "b": np.log(share).astype(np.float32)}
         w["m1"], w["m2"] = (np.eye(cfg.dim) * s for s in (1.0, 0.5))
         size = 1 << max(8, int(np.ceil(np.log2(4 * np.sqrt(v + 1)))))
-        w["hr"], w["hq"] = np.zeros((size, cfg.dim)), np.zeros((size, cfg.dim))
-        weight = np.array([x for _, x in sample], dtype=np.float64)
-        rest = counts[-1] + v - k  # what the weights sum to, or estimate
-        part = weight / max(weight.sum(), 1e-300) * (rest / (rest + 1))
-        return Lbl([t for t, _ in top], counts, n, v, {x: np.ascontiguousarray(y, dtype=np.float32) for x, y in w.items()}, hashed_rows([t for t, _ in sample], size), part, np.float32(cfg.bound))
+        w["hr"], w["hq"] = np.zeros((size, cfg.dim)), np.zeros((2 * cfg.buckets, cfg.dim))
+        rest = counts[-1] + v - k  # what the weights sum to
+        return Lbl([t for t, _ in top], counts, n, v, {x: np.ascontiguousarray(y, dtype=np.float32) for x, y in w.items()}, weight / (rest + 1), 1 / (rest + 1), np.float32(cfg.bound))
 
     def contexts(self, ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids one and two before each position, -1 before the text; first: positions where a text begins."""
@@ -122,6 +121,12 @@ class Lbl:
         two[first] = begin
         return one, np.minimum(two, self.other)
 
+    def outputs(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows in both tables of output vectors, which follow one another, from rows of the hashed table of contexts."""
+        b = len(self.share)
+        rows = words & (b - 1)
+        return rows[..., 0], rows[..., 1] + b
+
     def classes_of(self, at: np.ndarray) -> np.ndarray:
         """Rows of the table of context vectors by class."""
         k = self.other
@@ -147,8 +152,8 @@ class Lbl:
         w, order = self.w, rng.permutation(-(-len(ids) // cfg.batch))
         draw = np.searchsorted(np.cumsum(share), rng.random((len(order), cfg.noise))).clip(0, len(share) - 1)
         outside = ids[ids >= k] - k
-        draw_far = words[outside[rng.integers(0, len(outside), (len(order), cfg.noise))]] if len(outside) else None
-        far_noise = np.float32(np.log(cfg.noise))
+        draw_far = words[outside[rng.integers(0, len(outside), (len(order), max(1, cfg.noise // 2)))]] if len(outside) else None
+        far_noise, half = np.float32(np.log(max(1, cfg.noise // 2))), self.bound / 2
         for step, at in enumerate(order):
             s = slice(at * cfg.batch, (at + 1) * cfg.batch)
             a, b, t, z = one[s], two[s], np.minimum(ids[s], k), draw[step]
@@ -163,18 +168,22 @@ class Lbl:
             up = gt[:, None] * qt + gz @ qz
             far = np.flatnonzero(t == k)
             if len(far):
-                own, other = words[ids[s][far] - k], draw_far[step]
+                (own0, own1), (other0, other1) = self.outputs(words[ids[s][far] - k]), self.outputs(draw_far[step])
                 c = ctx[far]
-                qt, qo = w["hq"][own].sum(axis=1), w["hq"][other].sum(axis=1)
-                (bt, dt), (bo, do) = bend((c * qt).sum(axis=1) / self.bound), bend(c @ qo.T / self.bound)
-                ht = (1 / (1 + np.exp(far_noise - self.bound * bt)) - 1) * scale * dt
-                bo *= self.bound
-                ho = logistic(bo, -far_noise)
-                do *= scale
-                ho *= do
-                up[far] += ht[:, None] * qt + ho @ qo
-                gown, gother = ht[:, None] * c, ho.T @ c
-                self._rows("hq", np.concatenate([own[:, 0], own[:, 1], other[:, 0], other[:, 1]]), np.concatenate([gown, gown, gother, gother]), cfg, state, touched)
+                q0, q1, o0, o1 = w["hq"][own0], w["hq"][own1], w["hq"][other0], w["hq"][other1]
+                (b0, d0), (b1, d1) = bend((c * q0).sum(axis=1) / half), bend((c * q1).sum(axis=1) / half)
+                (n0, e0), (n1, e1) = bend(c @ (o0 / half).T), bend(c @ (o1 / half).T)
+                hit = (1 / (1 + np.exp(far_noise - half * (b0 + b1))) - 1) * scale
+                d0 *= hit
+                d1 *= hit
+                n0 += n1
+                n0 *= half
+                miss = logistic(n0, -far_noise)
+                miss *= scale
+                e0 *= miss
+                e1 *= miss
+                up[far] += d0[:, None] * q0 + d1[:, None] * q1 + e0 @ o0 + e1 @ o1
+                self._rows("hq", np.concatenate([own0, own1, other0, other1]), np.concatenate([d0[:, None] * c, d1[:, None] * c, e0.T @ c, e1.T @ c]), cfg, state, touched)
             ga, gb = up @ w["m1"].T, up @ w["m2"].T
             grads = {"m1": ra.T @ up, "m2": rb.T @ up}
             for name, g in grads.items():
@@ -228,8 +237,9 @@ class Lbl:
         edges = np.searchsorted(back[order], np.arange(0, len(contexts) + step, step))
         out, tilt, total = np.empty(len(ids)), np.zeros(len(ids)), np.zeros(len(ids))
         q = np.ascontiguousarray(np.concatenate([w["q"], w["b"][:, None]], axis=1).T)
-        sampled = np.ascontiguousarray(w["hq"][self.seen].sum(axis=1).T)
-        part, unseen = self.share.astype(np.float32), np.float32(1 - self.share.sum())
+        half, b = self.bound / 2, len(self.share)
+        tables = np.ascontiguousarray(w["hq"].T / half)
+        part, unseen = self.share.astype(np.float32), np.float32(self.unseen)
         for i, (lo, hi) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
             c = contexts[i * step : (i + 1) * step]
             ctx = np.ones((len(c), q.shape[0]), dtype=np.float32)
@@ -246,14 +256,17 @@ class Lbl:
             far = np.flatnonzero(t == k)
             if len(far):
                 need, of = np.unique(row[far], return_inverse=True)
-                e = ctx[need] @ sampled
+                e = ctx[need] @ tables
                 size = np.abs(e)
-                size /= self.bound
                 size += 1
                 e /= size
+                e *= half
+                own0, own1 = self.outputs(words[ids[pick[far]] - k])
+                tilt[pick[far]] = e[of, own0] + e[of, own1]
                 np.exp(e, out=e)
-                total[pick[far]] = np.log(e @ part + unseen)[of]
-                tilt[pick[far]] = self.bound * bend((ctx[row[far]] * w["hq"][words[ids[pick[far]] - k]].sum(axis=1)).sum(axis=1) / self.bound)[0]
+                sums = e[:, :b] @ part
+                sums *= e[:, b:]
+                total[pick[far]] = np.log(sums.sum(axis=1) + unseen)[of]
         return out, tilt, total
 
 
@@ -296,7 +309,7 @@ def train_round(model: Lbl, docs: DataFrame, text_col: str, cfg: LmConfig, numbe
 
     def run(batches):
         m = shared.value
-        local = Lbl(m.names, m.counts, m.n, m.v, {k: v.copy() for k, v in m.w.items()}, m.seen, m.share, m.bound)
+        local = Lbl(m.names, m.counts, m.n, m.v, {k: v.copy() for k, v in m.w.items()}, m.share, m.unseen, m.bound)
         state, touched, seen = {}, {}, 0
         rng = np.random.default_rng([cfg.seed, number])
         for _, ids, first, words in _blocks_of(batches, m.names, cfg.block_bytes // 4):
@@ -339,14 +352,34 @@ def fit(docs: DataFrame, text_col: str = "text", cfg: LmConfig = LmConfig()) ->
     counts = materialize(count_tokens(docs, text_col, cfg), "lm-counts")
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     top = counts.orderBy(F.desc("c"), "token").limit(cfg.classes).collect()
-    model = Lbl.start([(bytes(r["token"]), r["c"]) for r in top], total["n"], total["v"], tail_sample(counts, top, cfg), cfg)
+    model = Lbl.start([(bytes(r["token"]), r["c"]) for r in top], total["n"], total["v"], tail_weights(counts, top, cfg), cfg)
     for k in range(cfg.rounds):
         train_round(model, docs, text_col, cfg, k)
     return model, counts
 
 
+def tail_weights(counts: DataFrame, top: list, cfg: LmConfig) -> np.ndarray:
+    """Of all tokens outside top, the sums of c + 1 by their rows in both tables of output vectors."""
+    named, b = {bytes(r["token"]) for r in top}, cfg.buckets
+
+    def run(batches):
+        total = np.zeros(b * b)
+        for x in batches:
+            words = x.column(0).to_pylist()
+            rows = hashed_rows(words, b)
+            weight = np.where([t in named for t in words], 0.0, x.column(1).to_numpy() + 1.0)
+            total += np.bincount(rows[:, 0] * b + rows[:, 1], weights=weight, minlength=b * b)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["at", "weight"])
+
+    out = np.zeros(b * b)
+    for r in counts.mapInArrow(run, "at long, weight double").groupBy("at").agg(F.sum("weight").alias("weight")).collect():
+        out[r["at"]] = r["weight"]
+    return out.reshape(b, b)
+
+
 def tail_sample(counts: DataFrame, top: list, cfg: LmConfig) -> list[tuple[bytes, float]]:
-    """(token, weight) of cfg.sample tokens outside top: those whose exponential arrival at rate c + 1 is first. A weight
+    """For looking at a tail; no model or score uses it. (token, weight) of cfg.sample tokens outside top: those whose exponential arrival at rate c + 1 is first. A weight
     is c + 1 over the chance to arrive before the first one left out, so sums are unbiased; all tokens if they are few."""
     arrival = -F.log((F.pmod(F.xxhash64("token", F.lit(cfg.seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)) / (F.col("c") + 1)
     first = counts.select("token", "c", arrival.alias("a")).orderBy("a", "token").limit(cfg.sample + len(top) + 1).collect()

@@ -174,6 +174,25 @@ def test_lm_tokens_outside_the_classes(spark):
     assert score == pytest.approx(want / math.log(10), abs=1e-4)
 
 
+def test_lm_sums_over_all_types(spark):
+    """With more types than any sample held, the probabilities of all tokens of the other class and the unseen kind sum to one."""
+    rng = random.Random(4)
+    df = spark.createDataFrame([(i, " ".join(f"w{rng.randint(0, 3000)}" for _ in range(200))) for i in range(60)], "doc_id long, text string")
+    cfg = lm.LmConfig(classes=5, dim=8, batch=64, block_bytes=5000, rate=0.3, rounds=2)
+    model, counts = lm.fit(df, cfg=cfg)
+    c = {bytes(r.token): r.c for r in counts.collect()}
+    rest = [x for x in c if x not in set(model.names)]
+    assert len(rest) > 2000
+    k, whole = model.other, model.counts[-1] + len(rest) + 1
+    rows = lm.hashed_rows(rest, len(model.w["hr"]))
+    for before in (0, 7, 1234):
+        ids = np.array([x for i in range(len(rest)) for x in (k + before, k + i)])
+        _, tilt, total = model.logs(ids, np.arange(0, len(ids), 2), rows)
+        assert np.ptp(tilt[1::2]) > 0.1  # tilts are learned
+        p = (np.array([c[x] + 1 for x in rest]) / whole * np.exp(tilt[1::2] - total[1::2])).sum() + math.exp(-total[1]) / whole
+        assert p == pytest.approx(1, abs=1e-4)
+
+
 def test_line_dedup(spark):
     rows = [(1, "a\nb\nc\nd"), (2, "x\na\nb\nc"), (2, "x\na\nb\nc"), (3, "a\nb\nc\nb\nc\nd\na\nb\nc"), (4, None), (5, ""), (6, "\n\n\n\n"), (7, "a\nb"), (None, "a\nb\nc")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("pos", F.lit(1)).withColumn("n_lines", F.lit("x"))

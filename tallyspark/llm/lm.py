@@ -232,7 +232,13 @@ class Lbl:
         k, w = self.other, self.w
         one, two = self.contexts(ids, first)
         width = int(ids.max(initial=0)) + 2
-        contexts, back = np.unique((one.astype(np.int64) + 1) * width + two + 1, return_inverse=True)
+        one += 1
+        one *= width
+        one += two
+        one += 1
+        del two
+        contexts, back = np.unique(one, return_inverse=True)
+        del one
         order, step = np.argsort(back, kind="stable"), 512  # so many rows of scores stay in cache
         edges = np.searchsorted(back[order], np.arange(0, len(contexts) + step, step))
         out, tilt, total = np.empty(len(ids)), np.zeros(len(ids)), np.zeros(len(ids))
@@ -476,6 +482,9 @@ def _blocks_of(batches, names, limit):
             index[t]
         return index
 
+    def packed():
+        return rows, np.array(ids, dtype=np.int64), np.array(starts, dtype=np.int64), list(index)[len(names) :]
+
     index, rows, ids, starts, size = fresh(), [], [], [], 0
     for b in batches:
         for r in zip(*[c.to_pylist() for c in b.columns], strict=True):
@@ -485,7 +494,9 @@ def _blocks_of(batches, names, limit):
             rows.append(r[:2])
             size += len(r[2] or "")
             if size >= limit:
-                yield rows, np.array(ids, dtype=np.int64), np.array(starts, dtype=np.int64), list(index)[len(names) :]
-                index, rows, ids, starts, size = fresh(), [], [], [], 0
+                out = packed()
+                index, rows, ids, starts, size = fresh(), [], [], [], 0  # before the block is worked on
+                yield out
+                del out
     if rows:
-        yield rows, np.array(ids, dtype=np.int64), np.array(starts, dtype=np.int64), list(index)[len(names) :]
+        yield packed()

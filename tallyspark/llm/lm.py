@@ -20,8 +20,8 @@ counts back to their block; texts aren't shuffled.
 from __future__ import annotations
 
 import random
-from collections import Counter, defaultdict
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, word_hashes
+from .common import _BASIS, _FNV, materialize, mix64
 
 END = b""  # no word is empty
 
@@ -59,23 +59,15 @@ def count_tokens(docs: DataFrame, text_col: str, cfg: LmConfig) -> DataFrame:
     """(token, c) over all rows of docs, the end token included."""
 
     def run(batches):
-        held, size = Counter(), 0
+        for _, ids, _, words in _blocks_of(batches, [], cfg.block_bytes):
+            yield pa.RecordBatch.from_arrays([words, pa.array(np.bincount(ids, minlength=len(words)))], names=["token", "c"])
 
-        def out():
-            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["token", "c"])
+    return _texts(docs, text_col).mapInArrow(run, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                held.update(tokens(t))
-                held[END] += 1
-                size += len(t or "")
-                if size > cfg.block_bytes:
-                    yield out()
-                    held, size = Counter(), 0
-        if held:
-            yield out()
 
-    return docs.select(text_col).mapInArrow(run, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c"))
+def _texts(docs: DataFrame, text_col: str) -> DataFrame:
+    """The texts as _blocks_of reads them, without ids."""
+    return docs.select(F.lit(None).cast("long"), F.lit(None).cast("boolean"), text_col)
 
 
 @dataclass
@@ -124,8 +116,7 @@ class Lbl:
     def outputs(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows in both tables of output vectors, which follow one another, from rows of the hashed table of contexts."""
         b = len(self.share)
-        rows = words & (b - 1)
-        return rows[..., 0], rows[..., 1] + b
+        return words[..., 0] & (b - 1), (words[..., 1] & (b - 1)) + b
 
     def classes_of(self, at: np.ndarray) -> np.ndarray:
         """Rows of the table of context vectors by class."""
@@ -135,15 +126,22 @@ class Lbl:
     def vectors(self, at: np.ndarray, words: np.ndarray) -> np.ndarray:
         """Context vectors of token ids, those before the text being -1; words: rows of the hashed tables of those outside."""
         k = self.other
-        out = self.w["r"][self.classes_of(at)]
+        out = self.w["r"].take(self.classes_of(at), axis=0)
         far = np.flatnonzero(at >= k)
-        rows = words[at[far] - k]
-        out[far] += self.w["hr"][rows[:, 0]] + self.w["hr"][rows[:, 1]]
+        out[far] = self.far_vectors(words.take(at.take(far) - k, axis=0))
+        return out
+
+    def far_vectors(self, rows: np.ndarray) -> np.ndarray:
+        """Context vectors of tokens outside the classes, from their rows of the hashed table."""
+        out = self.w["hr"].take(rows[:, 0], axis=0)
+        out += self.w["hr"].take(rows[:, 1], axis=0)
+        out += self.w["r"][self.other]
         return out
 
     def train(self, ids: np.ndarray, first: np.ndarray, words: np.ndarray, cfg: LmConfig, state: dict, touched: dict, rng) -> None:
         """One pass of noise-contrastive estimation, noise shared by a batch (Adagrad): for classes drawn from their
-        shares, and within the other class from the tokens of ids themselves, where the share of a token cancels out."""
+        shares, and within the other class from the tokens of ids themselves, where the share of a token cancels out.
+        Gradients of a class's vectors are summed over its positions before they go through a matrix."""
         k = self.other
         one, two = self.contexts(ids, first)
         share = self.counts + 0.5
@@ -151,27 +149,35 @@ class Lbl:
         log_noise = np.log(cfg.noise * share).astype(np.float32)
         w, order = self.w, rng.permutation(-(-len(ids) // cfg.batch))
         draw = np.searchsorted(np.cumsum(share), rng.random((len(order), cfg.noise))).clip(0, len(share) - 1)
-        outside = ids[ids >= k] - k
-        draw_far = words[outside[rng.integers(0, len(outside), (len(order), max(1, cfg.noise // 2)))]] if len(outside) else None
+        out_a, out_t = _Spots(one >= k, cfg.batch), _Spots(ids >= k, cfg.batch)
+        far_a, far_t = words.take(one.take(out_a.at) - k, axis=0), words.take(ids.take(out_t.at) - k, axis=0)
+        draw_far = far_t[rng.integers(0, len(far_t), (len(order), max(1, cfg.noise // 2)))] if len(far_t) else None
         far_noise, half = np.float32(np.log(max(1, cfg.noise // 2))), self.bound / 2
+        one, two, ids = self.classes_of(one), self.classes_of(two), np.minimum(ids, k)
+        near_a, near_b, near_t = (_Spots(x != k, cfg.batch) for x in (one, two, ids))
         for step, at in enumerate(order):
             s = slice(at * cfg.batch, (at + 1) * cfg.batch)
-            a, b, t, z = one[s], two[s], np.minimum(ids[s], k), draw[step]
-            ra, rb = self.vectors(a, words), w["r"][self.classes_of(b)]
-            ctx = ra @ w["m1"] + rb @ w["m2"]
-            qt, qz = w["q"][t], w["q"][z]
-            gt = 1 / (1 + np.exp(log_noise[t] - w["b"][t] - (ctx * qt).sum(axis=1))) - 1
+            a, b, t, z = one[s], two[s], ids[s], draw[step]
+            out, rows = out_a.of(at), far_a[out_a.slice(at)]
+            ra = w["r"].take(a, axis=0)
+            ra[out] = self.far_vectors(rows)
+            ctx = ra @ w["m1"]
+            ctx += (w["r"] @ w["m2"]).take(b, axis=0)
+            qt, qz = w["q"].take(t, axis=0), w["q"].take(z, axis=0)
+            gt = 1 / (1 + np.exp(log_noise.take(t) - w["b"].take(t) - np.einsum("ij,ij->i", ctx, qt))) - 1
             gz = logistic(ctx @ qz.T, w["b"][z] - log_noise[z])
             scale = np.float32(1 / len(t))
             gt *= scale
             gz *= scale
-            up = gt[:, None] * qt + gz @ qz
-            far = np.flatnonzero(t == k)
+            qt *= gt[:, None]
+            up = qt
+            up += gz @ qz
+            far = out_t.of(at)
             if len(far):
-                (own0, own1), (other0, other1) = self.outputs(words[ids[s][far] - k]), self.outputs(draw_far[step])
-                c = ctx[far]
-                q0, q1, o0, o1 = w["hq"][own0], w["hq"][own1], w["hq"][other0], w["hq"][other1]
-                (b0, d0), (b1, d1) = bend((c * q0).sum(axis=1) / half), bend((c * q1).sum(axis=1) / half)
+                (own0, own1), (other0, other1) = self.outputs(far_t[out_t.slice(at)]), self.outputs(draw_far[step])
+                c = ctx.take(far, axis=0)
+                q0, q1, o0, o1 = (w["hq"].take(x, axis=0) for x in (own0, own1, other0, other1))
+                (b0, d0), (b1, d1) = bend(np.einsum("ij,ij->i", c, q0) / half), bend(np.einsum("ij,ij->i", c, q1) / half)
                 (n0, e0), (n1, e1) = bend(c @ (o0 / half).T), bend(c @ (o1 / half).T)
                 hit = (1 / (1 + np.exp(far_noise - half * (b0 + b1))) - 1) * scale
                 d0 *= hit
@@ -182,44 +188,63 @@ class Lbl:
                 miss *= scale
                 e0 *= miss
                 e1 *= miss
-                up[far] += d0[:, None] * q0 + d1[:, None] * q1 + e0 @ o0 + e1 @ o1
+                q0 *= d0[:, None]
+                q1 *= d1[:, None]
+                q0 += q1
+                q0 += e0 @ o0
+                q0 += e1 @ o1
+                q0 += up.take(far, axis=0)
+                up[far] = q0
                 self._rows("hq", np.concatenate([own0, own1, other0, other1]), np.concatenate([d0[:, None] * c, d1[:, None] * c, e0.T @ c, e1.T @ c]), cfg, state, touched)
-            ga, gb = up @ w["m1"].T, up @ w["m2"].T
-            grads = {"m1": ra.T @ up, "m2": rb.T @ up}
+            up_out = up.take(out, axis=0)
+            sum_a = self._sums(near_a.of(at), a, up)
+            sum_a[k] += up_out.sum(axis=0)
+            sum_b = self._sums(near_b.of(at), b, up)
+            sum_b[k] += (b == k).astype(np.float32) @ up
+            gr = sum_a @ w["m1"].T + sum_b @ w["m2"].T
+            grads = {"m1": ra.T @ up, "m2": w["r"].T @ sum_b}
+            ga = up_out @ w["m1"].T
             for name, g in grads.items():
                 self._adagrad(name, slice(None), g, cfg, state)
-            both, g = np.concatenate([a, b]), np.concatenate([ga, gb])
-            out = np.flatnonzero(a >= k)
             if len(out):
-                rows = words[a[out] - k]
-                self._rows("hr", np.concatenate([rows[:, 0], rows[:, 1]]), np.concatenate([ga[out], ga[out]]), cfg, state, touched)
-            self._rows("r", self.classes_of(both), g, cfg, state)
-            self._rows("q", np.concatenate([t, z]), np.concatenate([gt[:, None] * ctx, gz.T @ ctx]), cfg, state)
+                self._rows("hr", np.concatenate([rows[:, 0], rows[:, 1]]), np.concatenate([ga, ga]), cfg, state, touched)
+            self._adagrad("r", slice(None), gr, cfg, state)
+            near = near_t.of(at)
+            gq = sums_of_rows(np.concatenate([t.take(near), z]), np.concatenate([gt.take(near)[:, None] * ctx.take(near, axis=0), gz.T @ ctx]), k + 1)
+            if len(far):
+                gq[k] += gt.take(far) @ c
+            self._adagrad("q", slice(None), gq, cfg, state)
             gb = np.bincount(t, weights=gt, minlength=len(share)) + np.bincount(z, weights=gz.sum(axis=0), minlength=len(share))
             self._adagrad("b", slice(None), gb.astype(np.float32), cfg, state)
 
-    def _rows(self, k, index, g, cfg, state, touched=None):
-        n, width = self.w[k].shape
-        if n * width <= 4 * g.size:  # a small table: summed as a whole
-            g = np.bincount((index[:, None] * width + np.arange(width)).ravel(), weights=g.ravel(), minlength=n * width).reshape(n, width).astype(np.float32)
-            if touched is not None:
-                touched.setdefault(k, np.zeros(n, dtype=np.float32))[index] += 1
-            return self._adagrad(k, slice(None), g, cfg, state)
-        index = index.astype(np.uint16 if n <= 1 << 16 else np.int64)  # which numpy sorts by radix
-        order = np.argsort(index, kind="stable")
-        index = index[order]
-        head = np.flatnonzero(np.concatenate(([True], index[1:] != index[:-1])))
-        index = index[head].astype(np.int64)
-        if touched is not None:
-            touched.setdefault(k, np.zeros(n, dtype=np.float32))[index] += 1
-        self._adagrad(k, index, np.add.reduceat(g[order], head, axis=0), cfg, state)
+    def _sums(self, near, classes, g):
+        return sums_of_rows(classes.take(near), g.take(near, axis=0), self.other + 2)
+
+    def _rows(self, k, index, g, cfg, state, touched):
+        n = len(self.w[k])
+        seen = touched.setdefault(k, np.zeros(n, dtype=np.float32))
+        if n <= len(index):  # a small table: summed as a whole
+            seen[index] += 1
+            return self._adagrad(k, slice(None), sums_of_rows(index, g, n), cfg, state)
+        order = np.argsort(index.astype(np.uint16) if n <= 1 << 16 else index, kind="stable")  # 16 bits are sorted by radix
+        index = index.take(order)
+        head = np.concatenate(([True], index[1:] != index[:-1]))
+        rank = np.empty(len(order), dtype=np.int64)
+        rank[order] = np.cumsum(head) - 1
+        index = index[head]
+        seen[index] += 1
+        self._adagrad(k, index, sums_of_rows(rank, g, len(index)), cfg, state)
 
     def _adagrad(self, k, at, g, cfg, state):
         if k not in state:
             state[k] = np.full_like(self.w[k], 1e-8)
-        s = state[k][at] + g * g
+        s = g * g
+        s += state[k][at]
         state[k][at] = s
-        self.w[k][at] -= np.float32(cfg.rate) * g / np.sqrt(s)
+        np.sqrt(s, out=s)
+        np.divide(g, s, out=s)
+        s *= np.float32(cfg.rate)
+        self.w[k][at] -= s
 
     def log_probabilities(self, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Natural logarithm of the normalised probability of the class at each position."""
@@ -231,51 +256,98 @@ class Lbl:
         the tilt, and of the sum that the class's shares, tilted, are divided by."""
         k, w = self.other, self.w
         one, two = self.contexts(ids, first)
-        width = int(ids.max(initial=0)) + 2
+        width = k + 2
         one += 1
         one *= width
         one += two
         one += 1
         del two
-        contexts, back = np.unique(one, return_inverse=True)
+        order = in_order(one)
+        key = one.take(order)
         del one
-        order, step = np.argsort(back, kind="stable"), 512  # so many rows of scores stay in cache
-        edges = np.searchsorted(back[order], np.arange(0, len(contexts) + step, step))
+        head = np.concatenate(([True], key[1:] != key[:-1]))
+        starts = np.flatnonzero(head)
+        contexts, back, step = key[starts], np.cumsum(head) - 1, 512  # so many rows of scores stay in cache
+        del key, head
+        starts = np.append(starts, len(ids))
         out, tilt, total = np.empty(len(ids)), np.zeros(len(ids)), np.zeros(len(ids))
         q = np.ascontiguousarray(np.concatenate([w["q"], w["b"][:, None]], axis=1).T)
         half, b = self.bound / 2, len(self.share)
         tables = np.ascontiguousarray(w["hq"].T / half)
         part, unseen = self.share.astype(np.float32), np.float32(self.unseen)
-        for i, (lo, hi) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
-            c = contexts[i * step : (i + 1) * step]
+        second, ones = w["r"] @ w["m2"], np.ones(k + 1, dtype=np.float32)
+        for i in range(0, len(contexts), step):
+            c = contexts[i : i + step]
+            lo, hi = starts[i], starts[i + len(c)]
             ctx = np.ones((len(c), q.shape[0]), dtype=np.float32)
-            ctx[:, :-1] = self.vectors(c // width - 1, words) @ w["m1"] + (w["r"] @ w["m2"])[self.classes_of(c % width - 1)]
+            ctx[:, :-1] = self.vectors(c // width - 1, words) @ w["m1"]
+            ctx[:, :-1] += second.take(self.classes_of(c % width - 1), axis=0)
             pick = order[lo:hi]
-            row, t = back[pick] - i * step, np.minimum(ids[pick], k)
+            row, own = back[lo:hi] - i, ids.take(pick)
+            t = np.minimum(own, k)
             s = ctx @ q
             ctx = ctx[:, :-1]
             if s.max(initial=0) > 60:  # beyond it exp could overflow
                 s -= s.max(axis=1, keepdims=True)
-            mine = s[row, t]
+            mine = s.ravel().take(row * (k + 1) + t)
             np.exp(s, out=s)
-            out[pick] = mine - np.log(s.sum(axis=1))[row]
-            far = np.flatnonzero(t == k)
+            out[pick] = mine - np.log(s @ ones).take(row)
+            far = np.flatnonzero(own >= k)
             if len(far):
-                need, of = np.unique(row[far], return_inverse=True)
-                e = ctx[need] @ tables
+                row, own, pick = row.take(far), words.take(own.take(far) - k, axis=0), pick.take(far)
+                head = np.concatenate(([True], row[1:] != row[:-1]))
+                need, of = row[head], np.cumsum(head) - 1
+                e = ctx.take(need, axis=0) @ tables
                 size = np.abs(e)
                 size += 1
                 e /= size
                 e *= half
-                own0, own1 = self.outputs(words[ids[pick[far]] - k])
-                tilt[pick[far]] = e[of, own0] + e[of, own1]
+                own0, own1 = self.outputs(own)
+                flat, of_row = e.ravel(), of * (2 * b)
+                tilt[pick] = flat.take(of_row + own0) + flat.take(of_row + own1)
                 np.exp(e, out=e)
-                sums = e[:, :b] @ part
-                sums *= e[:, b:]
-                total[pick[far]] = np.log(sums.sum(axis=1) + unseen)[of]
+                total[pick] = np.log(np.einsum("ij,ij->i", e[:, :b] @ part, e[:, b:]) + unseen).take(of)
         return out, tilt, total
 
 
+class _Spots:
+    """Positions where a mask holds, cut by batches."""
+
+    def __init__(self, mask: np.ndarray, batch: int):
+        self.at, self.batch = np.flatnonzero(mask), batch
+        self.edges = np.searchsorted(self.at, np.arange(0, len(mask) + batch, batch))
+
+    def slice(self, i: int) -> slice:
+        return slice(self.edges[i], self.edges[i + 1])
+
+    def of(self, i: int) -> np.ndarray:
+        """Those of batch i, from its start."""
+        return self.at[self.slice(i)] - i * self.batch
+
+
+@lru_cache(maxsize=16)
+def _cells(n: int, width: int) -> np.ndarray:
+    return np.arange(n * width).reshape(n, width)
+
+
+def sums_of_rows(index: np.ndarray, g: np.ndarray, n: int) -> np.ndarray:
+    """(n, width): the sums of the rows of g by index. Cells are numbered in a table as long as a power of 2."""
+    width = g.shape[1]
+    cells = _cells(1 << max(0, n - 1).bit_length(), width).take(index, axis=0)
+    return np.bincount(cells.ravel(), weights=g.ravel(), minlength=n * width).reshape(n, width).astype(np.float32)
+
+
+def in_order(key: np.ndarray) -> np.ndarray:
+    """A stable argsort of whole numbers from 0; where key and position fit into 63 bits they are sorted as one number."""
+    bits = len(key).bit_length()
+    if int(key.max(initial=0)).bit_length() + bits > 63:
+        return np.argsort(key, kind="stable")
+    both = (key << bits) | np.arange(len(key))
+    both.sort()
+    both &= (1 << bits) - 1
+    return both
+
+
 def logistic(x: np.ndarray, shift) -> np.ndarray:
     """1 / (1 + exp(-(x + shift))), in the place of x."""
     x += shift
@@ -295,11 +367,24 @@ def bend(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x, part
 
 
-def hashed_rows(words: list[bytes], size: int) -> np.ndarray:
-    """(words, 2): the rows of a hashed table of `size`, a power of 2, that make up each word's vector."""
+def hashed_rows(words: pa.Array | list[bytes], size: int) -> np.ndarray:
+    """(words, 2): the rows of a hashed table of `size`, a power of 2, that make up each word's vector, by its hash (that of
+    common.word_hashes; 0 for the end token)."""
+    words = words if isinstance(words, pa.Array) else pa.array(words, pa.binary())
     h = np.zeros(len(words), dtype=np.uint64)
-    got, counts = word_hashes(words)
-    h[counts > 0] = got  # the end token has none
+    if len(words):
+        at = np.frombuffer(words.buffers()[1], np.int64 if pa.types.is_large_binary(words.type) else np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+        order = in_order(np.diff(at))
+        start, length = at[order], np.diff(at)[order]
+        buf = np.frombuffer(words.buffers()[2] or b"", np.uint8)
+        live, j, x = np.searchsorted(length, 0, "right"), 0, np.full(len(words), _BASIS, dtype=np.uint64)
+        begun = live
+        while live < len(x):
+            x[live:] ^= buf[start[live:] + j]
+            x[live:] *= _FNV
+            j += 1
+            live += np.searchsorted(length[live:], j, "right")
+        h[order[begun:]] = mix64(x[begun:])
     return np.stack([h & np.uint64(size - 1), (h >> np.uint64(32)) & np.uint64(size - 1)], axis=1).astype(np.int64)
 
 
@@ -340,7 +425,7 @@ def train_round(model: Lbl, docs: DataFrame, text_col: str, cfg: LmConfig, numbe
         return pa.table({"k": pa.array([key[0].as_py()]), "i": pa.array([key[1].as_py()], pa.int64()), "x": pa.array([x.astype(np.float32).tobytes()], pa.binary()), "n": pa.array([(n > 0).tobytes()], pa.binary())})
 
     ddl = "k string, i long, x binary, n binary"
-    rows = docs.select(F.lit(None).cast("long"), F.lit(None).cast("boolean"), text_col).mapInArrow(run, ddl).groupBy("k", "i").applyInArrow(merge, ddl)
+    rows = _texts(docs, text_col).mapInArrow(run, ddl).groupBy("k", "i").applyInArrow(merge, ddl)
     for r in rows.toArrow().to_pylist():
         x, live = np.frombuffer(r["x"], np.float32), np.frombuffer(r["n"], bool)
         if r["k"]:
@@ -366,14 +451,13 @@ def fit(docs: DataFrame, text_col: str = "text", cfg: LmConfig = LmConfig()) ->
 
 def tail_weights(counts: DataFrame, top: list, cfg: LmConfig) -> np.ndarray:
     """Of all tokens outside top, the sums of c + 1 by their rows in both tables of output vectors."""
-    named, b = {bytes(r["token"]) for r in top}, cfg.buckets
+    names, b = [bytes(r["token"]) for r in top], cfg.buckets
 
     def run(batches):
-        total = np.zeros(b * b)
+        total, named = np.zeros(b * b), pa.array(names, pa.binary())
         for x in batches:
-            words = x.column(0).to_pylist()
-            rows = hashed_rows(words, b)
-            weight = np.where([t in named for t in words], 0.0, x.column(1).to_numpy() + 1.0)
+            rows = hashed_rows(x.column(0), b)
+            weight = np.where(pc.is_in(x.column(0), named).to_numpy(zero_copy_only=False), 0.0, x.column(1).to_numpy() + 1.0)
             total += np.bincount(rows[:, 0] * b + rows[:, 1], weights=weight, minlength=b * b)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["at", "weight"])
@@ -425,14 +509,14 @@ def score(docs: DataFrame, model: Lbl, counts: DataFrame, held_out, id_col: str
             logs = np.add.reduceat(np.where(outside, 0.0, np.append(log_c, 0.0)[classes]), first)
             off = np.concatenate(([0], np.cumsum(n_out)))
             lists = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array((ids[outside] - k).astype(np.int32)))
-            new = np.array([bool(r[1]) for r in rows])
+            new = pc.fill_null(rows.column(1), False).to_numpy().astype(bool)
             tilt_sum = pa.array(np.add.reduceat(tilt, first), mask=new)
             new_off = np.concatenate(([0], np.cumsum(np.where(new, n_out, 0))))
             tilts = pa.ListArray.from_arrays(pa.array(new_off, pa.int32()), pa.array(tilt[outside & np.repeat(new, stop - first)].astype(np.float32)))
-            block, none = random.getrandbits(62), pa.nulls(len(rows), pa.list_(pa.binary()))
-            yield pa.RecordBatch.from_arrays([pa.array([block] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.bool_()), pa.array(stop - first, pa.int64()), pa.array(stop - first - n_out, pa.int64()), pa.array(logs), pa.array(np.add.reduceat(lp, first) / np.log(10)), lists, tilt_sum, tilts, none], schema=BLOCKS)
-            if words:
-                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *[pa.nulls(1, f.type) for f in list(BLOCKS)[1:-1]], pa.array([words], pa.list_(pa.binary()))], schema=BLOCKS)
+            block, none = random.getrandbits(62), pa.nulls(rows.num_rows, pa.list_(pa.binary()))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(rows.num_rows, block)), *(c.combine_chunks() for c in rows.columns), pa.array(stop - first, pa.int64()), pa.array(stop - first - n_out, pa.int64()), pa.array(logs), pa.array(np.add.reduceat(lp, first) / np.log(10)), lists, tilt_sum, tilts, none], schema=BLOCKS)
+            if len(words):
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *[pa.nulls(1, f.type) for f in list(BLOCKS)[1:-1]], pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)], schema=BLOCKS)
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), held_out.alias("h"), F.col(text_col).alias("t")).mapInArrow(run, BLOCKS_DDL)
     rows = materialize(rows, "lm-blocks")
@@ -472,31 +556,46 @@ def score(docs: DataFrame, model: Lbl, counts: DataFrame, held_out, id_col: str
 
 
 def _blocks_of(batches, names, limit):
-    """(rows, ids, starts, words) of about limit bytes of texts from (id, held_out, text): token ids, where each text
-    begins, and the words outside names, which have the ids from len(names) on."""
-
-    def fresh():
-        index = defaultdict()
-        index.default_factory = index.__len__
-        for t in names:
-            index[t]
-        return index
-
-    def packed():
-        return rows, np.array(ids, dtype=np.int64), np.array(starts, dtype=np.int64), list(index)[len(names) :]
-
-    index, rows, ids, starts, size = fresh(), [], [], [], 0
+    """(rows, ids, starts, words) of texts with limit characters, or a text more, from (id, held_out, text): the first two
+    columns, token ids, where each text begins, and the words outside names, which have the ids from len(names) on."""
+    held, size = [], 0
     for b in batches:
-        for r in zip(*[c.to_pylist() for c in b.columns], strict=True):
-            starts.append(len(ids))
-            ids.extend(map(index.__getitem__, tokens(r[2])))
-            ids.append(index[END])
-            rows.append(r[:2])
-            size += len(r[2] or "")
-            if size >= limit:
-                out = packed()
-                index, rows, ids, starts, size = fresh(), [], [], [], 0  # before the block is worked on
-                yield out
-                del out
-    if rows:
-        yield packed()
+        chars, lo = np.cumsum(pc.fill_null(pc.utf8_length(b.column(2)), 0).to_numpy(), dtype=np.int64), 0
+        while lo < b.num_rows:
+            before = chars[lo - 1] if lo else 0
+            hi = int(np.searchsorted(chars, limit - size + before)) + 1
+            held.append(b.slice(lo, hi - lo))
+            if hi > b.num_rows:
+                size += chars[-1] - before
+                break
+            out, held, size, lo = held, [], 0, hi
+            yield _block(out, names)
+    if held:
+        yield _block(held, names)
+
+
+def _block(batches: list[pa.RecordBatch], names: list[bytes]):
+    rows = pa.Table.from_batches(batches)
+    # the six separators are ASCII's white space; a text that begins or ends with one has an empty part there
+    parts = [pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(c, ""))) for c in rows.column(2).chunks]
+    codes = pa.chunked_array([x.flatten().cast(pa.binary()) for x in parts]).dictionary_encode()
+    types = codes.chunk(codes.num_chunks - 1).dictionary
+    codes = np.concatenate([c.indices.to_numpy() for c in codes.chunks])
+    offsets = np.cumsum(np.concatenate([[0], *(np.diff(x.offsets.to_numpy()) for x in parts)]))
+    del parts
+    k, named = len(names), pa.array(names, pa.binary())
+    empty = pc.equal(types, END).to_numpy(zero_copy_only=False)
+    ids = pc.fill_null(pc.index_in(types, named), -1).to_numpy().astype(np.int64)
+    far = (ids < 0) & ~empty
+    ids[far] = k + np.arange(far.sum())
+    words = types.filter(pa.array(far))
+    end = names.index(END) if END in names else k + len(words)
+    if end >= k:
+        words = pa.concat_arrays([words, pa.array([END], pa.binary())])
+    full = ~empty[codes]
+    n = np.diff(np.concatenate(([0], np.cumsum(full)))[offsets]) + 1
+    stop = np.cumsum(n)
+    out, inside = np.full(stop[-1], end, dtype=np.int64), np.ones(stop[-1], dtype=bool)
+    inside[stop - 1] = False
+    out[inside] = ids[codes[full]]
+    return rows.select([0, 1]), out, stop - n, words

@@ -5,13 +5,16 @@ import collections
 import hashlib
 import math
 import random
+import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tallyspark.llm import langid, linededup, lm, minhash, simhash, substring, warc
+from tallyspark.llm.common import word_hashes
 
 SCHEMA = "doc_id long, text string, lang string, source string"
 
@@ -139,6 +142,77 @@ def test_lm_scores(docs):
     assert lm.score(docs, empty_model, none, out, cfg=cfg).count() == len(toks)
 
 
+def plain_blocks(rows, names, limit):
+    """Blocks of (rows, ids, starts, words), token by token; the end token after the names and all words if it has no name."""
+    blocks, part, size = [], [], 0
+    for r in rows:
+        part.append(r)
+        size += len(r[2] or "")
+        if size >= limit:
+            blocks, part, size = [*blocks, part], [], 0
+    for part in [*blocks, part] if part else blocks:
+        index, ids, starts = {t: i for i, t in enumerate(names)}, [], []
+        for r in part:
+            starts.append(len(ids))
+            for t in lm.tokens(r[2]):
+                ids.append(index.setdefault(t, len(index)))
+            ids.append(-1)
+        end = index.setdefault(b"", len(index))
+        yield [r[:2] for r in part], [end if i < 0 else i for i in ids], starts, list(index)[len(names) :]
+
+
+def test_lm_tokens_cost_less_than_a_python_step_each():
+    """Cutting texts into token ids takes well under the CPU time of one dictionary step a token, with the same ids."""
+    rng = random.Random(8)
+    odd = [None, "", " ", "\t\n\x0b\x0c\r ", "A", " a  B\u00a0c\u0085d\x1ce ", "É\u2003é a", "x\x00y \U0001f600 Ab"]
+    rows = [(rng.choice([None, i]), rng.choice([None, True, False]), " ".join([rng.choice(odd) or "", *(f"W{rng.randint(0, 50)}" for _ in range(rng.randint(0, 9)))]) if i % 3 else rng.choice(odd)) for i in range(400)]
+
+    def batches(rows, n):
+        return [pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[i : i + n]), (pa.int64(), pa.bool_(), pa.string()))], names=["a", "b", "c"]) for i in range(0, len(rows), n)]
+
+    for names in ([], [b""], [b"w1", b"", b"nowhere", b"a"], [b"w3", b"w2"]):
+        for limit, n in ((1, 7), (100, 7), (100, 400), (5000, 50), (10**9, 33)):
+            got = [([tuple(r.values()) for r in rows.to_pylist()], ids.tolist(), starts.tolist(), words.to_pylist()) for rows, ids, starts, words in lm._blocks_of(batches(rows, n), names, limit)]
+            assert got == list(plain_blocks(rows, names, limit))
+    big = [(1, True, " ".join(f"w{int(rng.paretovariate(0.6))}" for _ in range(300))) for _ in range(1000)]
+    cut = batches(big, 300)
+
+    def seconds(f):
+        took = []
+        for _ in range(5):
+            t = time.process_time()
+            f()
+            took.append(time.process_time() - t)
+        return min(took)
+
+    assert seconds(lambda: list(lm._blocks_of(cut, [b""], 10**6))) < 0.6 * seconds(lambda: list(plain_blocks([tuple(r.values()) for b in cut for r in b.to_pylist()], [b""], 10**6)))
+
+
+def test_lm_sums_and_orders():
+    rng = np.random.default_rng(3)
+    words = [b"", b"a", b"zz", "é\u2003".encode(), b"x" * 300, *(b"w%d" % i for i in range(500))]
+    h, n = word_hashes(words)
+    want = np.zeros(len(words), dtype=np.uint64)
+    want[n > 0] = h
+    want = np.stack([want & np.uint64(1023), (want >> np.uint64(32)) & np.uint64(1023)], axis=1).astype(np.int64)
+    assert (lm.hashed_rows(words, 1024) == want).all() and (lm.hashed_rows(pa.array(words, pa.binary())[3:], 1024) == want[3:]).all()
+    assert lm.hashed_rows([], 8).shape == (0, 2)
+    for top in (1, 50, 1 << 40, 1 << 62):  # the last doesn't fit beside positions
+        key = rng.integers(0, top, 1000)
+        assert (lm.in_order(key) == np.argsort(key, kind="stable")).all()
+    # a table larger than a batch's rows is updated at the rows hit, as if it were summed as a whole
+    cfg, g = lm.LmConfig(), rng.normal(size=(60, 4)).astype(np.float32)
+    index = rng.integers(0, 40, 60)
+    for size in (40, 100, 70_000):
+        model = lm.Lbl.start([(b"", 5)], 9, 4, np.zeros((64, 64)), cfg)
+        model.w["hr"], state, touched = np.zeros((size, 4), dtype=np.float32), {}, {}
+        model._rows("hr", index, g, cfg, state, touched)
+        sums = np.zeros((size, 4))
+        np.add.at(sums, index, g)
+        assert model.w["hr"] == pytest.approx(-cfg.rate * sums / np.sqrt(sums**2 + 1e-8), abs=1e-5)
+        assert (touched["hr"] == np.isin(np.arange(size), index)).all()
+
+
 def test_lm_tokens_outside_the_classes(spark):
     """Every token has its own probability given its context, and is a context of its own; all of them sum to one."""
     rows = [(i, " ".join(f"a{k} b{k}" if (i + k) % 3 else f"b{k} a{k}" for k in range(40))) for i in range(30)]
